@@ -1,12 +1,74 @@
-"""A training-data pipeline of five stages over ``documents``."""
+"""A training-data pipeline over ``documents``: five stages, each one operator of ``quern.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet to the shared folder and reads it back as the next stage's docs.
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, line_dedup, near_dedup, packing, quality
+from quern.llm.common import materialize, table
+from quern.llm.queries import BYTE_MODEL, BYTE_RANKS
+
+
+def _columns(docs: DataFrame, source: str = "src") -> list:
+    return [F.col(f"{source}.`{c}`").alias(c) for c in docs.columns]
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return scored.filter("predicted = 1").select(*_columns(docs))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the line chunks that an earlier one has; n_chars follows the text."""
+    kept = line_dedup.remove_repeated_chunks(docs)
+    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("src.text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(kind)).otherwise(F.col("src.n_chars"))
+    return kept.select(*(new.get(c, F.col(f"src.`{c}`")).alias(c) for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of smallest doc_id."""
+    found = near_dedup.find_near_duplicates(docs)
+    dropped = found.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("src"))
+    return packed.join(dropped, F.col("src.doc_id") == F.col("dropped_id"), "left_anti").select(*_columns(docs))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
+    return found.filter("not contaminated").select(*_columns(docs))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(BYTE_RANKS))
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("line_dedup", repeated_lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("packing", packed_sequences),
+]
 
-STAGES: list = []
+#: SQL expresses neither the classifier nor the sketches; tests/llm compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

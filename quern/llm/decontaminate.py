@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import rolling
 from .common import null_free, prepare
@@ -120,16 +121,16 @@ def _scan(shared, with_text: bool):
                     batch.column(0).slice(lo, rows), pa.array(n_words, pa.int64()), pa.array(spans, SPAN),
                     pa.array([sorted(items.get(r, ())) for r in range(rows)], pa.list_(pa.string())), batch.column(2).slice(lo, rows), pa.array(texts, pa.string()),
                 ]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "hit_spans", "items", "row_key", "clean_text"])
+                yield pa.RecordBatch.from_arrays(out, ["src", "n_words", "hit_spans", "items", "row_key", "clean_text"])
 
     return run
 
 
-SCANNED = "doc_id long, n_words long, hit_spans array<struct<start: long, end: long>>, items array<string>, row_key long, clean_text string"
+SCANNED = "n_words long, hit_spans array<struct<start: long, end: long>>, items array<string>, row_key long, clean_text string"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, broadcast_bytes: int = 64 << 20, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, hit_spans, items, n_hit, contaminated[, clean_text]) of every row.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, broadcast_bytes: int = 64 << 20, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(src, doc_id, n_words, hit_spans, items, n_hit, contaminated[, clean_text]) of every row; src holds the columns ``carry``.
 
     hit_spans: maximal runs of hit words as [start, end) word numbers. items:
     ids, as sorted strings, of items with a window in the row. clean_text: the
@@ -138,7 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, br
 
     Null texts have no words. Windows of an item with null item_id hit words but
     give no id. Items of the same id count once. An empty benchmark hits nothing.
-    Repeated rows give a row each. Other columns are ignored.
+    Repeated rows give a row each. Columns of any name may be present.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -146,22 +147,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, br
     found = items.mapInArrow(_item_windows(n), "window binary, n_words int, item_id string").distinct()
     size = int(found.select(F.sum(F.octet_length("window") + 64)).first()[0] or 0)
     blocks = max(1, -(-size // broadcast_bytes))
-    base = null_free(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("row_key", F.xxhash64("doc_id", "text") if blocks > 1 else F.lit(0).cast("long"))
+    base = null_free(docs.select(F.struct(*(F.col(f"`{c}`") for c in (carry or ["doc_id"]))).alias("src"), "text"))
+    base = base.withColumn("row_key", F.xxhash64("src.doc_id", "text") if blocks > 1 else F.lit(0).cast("long"))
+    scanned = T.StructType([base.schema["src"], *T.StructType.fromDDL(SCANNED)])
     found = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     scans = []
     for block in range(blocks):
         rows = [tuple(r) for r in found.filter(F.col("block") == block).select("window", "n_words", "item_id").toLocalIterator()]
-        scans.append(base.mapInArrow(_scan(spark.sparkContext.broadcast(Windows(rows)), with_text and blocks == 1), SCANNED))
+        scans.append(base.mapInArrow(_scan(spark.sparkContext.broadcast(Windows(rows)), with_text and blocks == 1), scanned))
     if blocks == 1:
         out = scans[0]
     else:
         out = scans[0]
         for scan in scans[1:]:
             out = out.unionByName(scan)
-        out = out.groupBy("doc_id", "row_key", "n_words").agg(
+        out = out.groupBy("src", "row_key", "n_words").agg(
             F.array_distinct(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies")
         )
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("clean_text", F.lit(None).cast("string"))
     places = F.array_distinct(F.flatten(F.transform("hit_spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
     out = out.withColumn("n_hit", F.size(places).cast("long"))
-    return out.select("doc_id", "n_words", "hit_spans", "items", "n_hit", (F.col("n_hit") > 0).alias("contaminated"), *(["clean_text"] if with_text else []))
+    return out.select("src", F.col("src.doc_id").cast("long").alias("doc_id"), "n_words", "hit_spans", "items", "n_hit", (F.col("n_hit") > 0).alias("contaminated"), *(["clean_text"] if with_text else []))

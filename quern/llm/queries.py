@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dedup, packing, substring_dedup, suffix_dedup, token_counts
+from . import ann, decontaminate, html_text, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 BYTE_MODEL, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
@@ -37,10 +42,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(BYTE_RANKS))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256)
@@ -48,12 +62,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_text": op8_html_text,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_decontamination": op10_decontamination,
 }
 
