@@ -6,6 +6,8 @@ that spells the expression out. The JSON editors are pandas UDFs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from ..session import ship
@@ -43,6 +45,30 @@ DEFINITIONS = {
 }
 
 
+_PARAMETER = re.compile(r"(\w+) (ARRAY<DOUBLE>|STRING|DOUBLE|TIMESTAMP|INT)(?: DEFAULT ('[^']*'|\d+))?")
+
+
+def expand(name: str, arguments: list[str]) -> str | None:
+    """The expression that a call stands for; None for other functions.
+
+    Spark allows its SQL functions in few places (not in ORDER BY, say), so the
+    dialect writes their bodies out.
+    """
+    if name not in DEFINITIONS:
+        return None
+    head, body = DEFINITIONS[name].split(" RETURN ", 1)
+    parameters = _PARAMETER.findall(head.rsplit(" RETURNS ", 1)[0])
+    values: dict[str, str] = {}
+    for k, (parameter, kind, default) in enumerate(parameters):
+        if k >= len(arguments) and not default:
+            raise ValueError(f"{name} takes {len(parameters)} arguments")
+        given = arguments[k] if k < len(arguments) else default
+        values[parameter] = f"CAST({given} AS {kind})" if kind in ("ARRAY<DOUBLE>", "TIMESTAMP") else f"({given})"
+    if len(arguments) > len(parameters):
+        raise ValueError(f"{name} takes {len(parameters)} arguments")
+    return "(" + re.sub(r"'[^']*'|\w+", lambda m: values.get(m[0], m[0]), body) + ")"
+
+
 def register(spark: SparkSession) -> None:
     """Make all functions known to the session; may be called again."""
     ship(spark)
