@@ -192,6 +192,8 @@ class Anchors:
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of all strings of these anchors, their hashes and second hashes."""
+        if not len(which):
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
         count = self.last[which] - self.first[which] + 1
         start = np.repeat(self.first[which] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
         hashes = rolling.mix(rolling.span_hash(self.sums, start, start + self.length, rolling.BYTE_BASE))
