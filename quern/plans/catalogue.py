@@ -6,6 +6,7 @@ types of both sides agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,8 @@ from ..functions.models import ModelRegistry
 from ..operators import relational as R
 from ..operators import timeseries as TS
 from ..operators import vector_search as VS
-from ..session import ship
+from ..session import shared_dir, ship
+from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -747,3 +749,105 @@ def update_rewrite(t):
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)")
 def delete_rewrite(t):
     return R.delete(t.orders, (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000)).select("o_orderkey")
+
+
+# ---- SQL text through the engine ----------------------------------------------------
+
+
+def _engine(t: Tables, *names: str):
+    from ..engine import Engine
+
+    engine = Engine(t.spark, f"{shared_dir(t.spark)}/engine-{uuid.uuid4().hex}")
+    t.views(*names)
+    return engine
+
+
+@query(_FILL.format("pv"))
+def sql_sample_by(t):
+    return _engine(t, "events").sql("SELECT ts, value FROM events SAMPLE BY 5m FILL(PREV)").withColumn("value", _n(F.col("value"), 6))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS b, count(*) AS n, round(avg(value), 6) AS a FROM events WHERE value > 1 GROUP BY 1, 2")
+def sql_time_bucket(t):
+    out = _engine(t, "events").sql("SELECT event_type, TIME_BUCKET('6h', ts) AS b, count(*) AS n, avg(value) AS a FROM events WHERE value > 1 GROUP BY event_type, b")
+    return out.withColumn("a", _n(F.col("a"), 6))
+
+
+@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS m FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def sql_moving_average(t):
+    out = _engine(t, "events").sql("SELECT user_id, event_id, MOVING_AVERAGE(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM events WHERE JSON_HAS(props, '$.k')")
+    return out.withColumn("m", _n(F.col("m"), 6))
+
+
+@query(f"SELECT vec_id, label, round(list_distance({_E}, {_QSQL}), 6) AS d FROM embeddings WHERE label < 5 AND list_cosine_similarity({_E}, {_QSQL}) > 0 ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 15")
+def sql_vector_search(t):
+    out = _engine(t, "embeddings").sql(f"SELECT vec_id, label, embedding <-> {_Q} AS d FROM embeddings WHERE label < 5 AND embedding <=> {_Q} > 0 ORDER BY embedding <-> {_Q}, vec_id LIMIT 15")
+    return out.withColumn("d", _n(F.col("d"), 6))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS name, CAST(n_regionkey + CASE WHEN n_regionkey = 1 THEN 10 ELSE 0 END AS BIGINT) AS region FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 100, 'new', 7")
+def sql_changes(t):
+    engine = _engine(t, "nation")
+    for s in (
+        "CREATE TABLE places (id INT PRIMARY KEY, name VARCHAR(64) NOT NULL, region BIGINT DEFAULT 7)",
+        "INSERT INTO places SELECT n_nationkey, n_name, n_regionkey FROM nation",
+        "INSERT IGNORE INTO places (id, name) VALUES (100, 'new'), (3, 'ignored')",
+        "BEGIN",
+        "UPDATE places SET name = UPPER(name), region = region + 10 WHERE region = 1",
+        "DELETE FROM places WHERE region = 2",
+        "COMMIT",
+        "BEGIN",
+        "DELETE FROM places",
+        "ROLLBACK",
+    ):
+        engine.sql(s)
+    return engine.sql("SELECT id, name, region FROM places")
+
+
+# ---- streams: what they end with is what a batch gives ------------------------------
+
+
+def _final(t: Tables, stream: DataFrame) -> DataFrame:
+    """The last complete result of a stream over what is there now."""
+    out = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    started = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows"))
+    started.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    return streams.records(t.spark, f"{t.sf_dir}/{name}.parquet", getattr(t, name).schema)
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, round(sum(value), 6) AS sum, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg FROM events GROUP BY 1, 2")
+def stream_rollup(t):
+    out = _final(t, streams.rollup(_stream(t, "events"), "ts", "value", "1h", keys=["event_type"]))
+    return out.withColumns({"bucket": F.col("bucket").cast("timestamp_ntz"), "sum": _n(F.col("sum"), 6), "avg": _n(F.col("avg"), 6)})
+
+
+@query(ORACLES["ts_sliding"].replace("count(*) AS n", "count(value) AS count").replace("SELECT unnest", "SELECT value, unnest").replace("s AS window_start, s + INTERVAL '2 hours' AS window_end", "s AS bucket").replace("GROUP BY 1, 2", "GROUP BY 1"))
+def stream_sliding(t):
+    out = _final(t, streams.rollup(_stream(t, "events"), "ts", "value", "2h", slide="1h"))
+    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "count")
+
+
+@query(ORACLES["ts_session"])
+def stream_session(t):
+    out = _final(t, streams.sessions(_stream(t, "events"), "ts", "2h", keys=["user_id"]))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_deduplicate(t):
+    rows = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    streams.to_files(streams.without_duplicates(rows, ["user_id", "event_type"], "ts", "60d").select("user_id", "event_type"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{out}/rows")
+
+
+@query("SELECT 1::BIGINT AS seq, 'INSERT' AS op, count(*) AS n FROM region UNION ALL SELECT 2, 'UPDATE', count(*) FROM region WHERE r_regionkey < 2 UNION ALL SELECT 3, 'DELETE', count(*) FROM region WHERE r_regionkey = 4")
+def stream_change_feed(t):
+    engine = _engine(t, "region")
+    for s in ("CREATE TABLE r (id INT PRIMARY KEY, name TEXT)", "INSERT INTO r SELECT r_regionkey, r_name FROM region", "UPDATE r SET name = 'x' WHERE id < 2", "DELETE FROM r WHERE id = 4"):
+        engine.sql(s)
+    return _final(t, streams.changes(engine.db, "r").groupBy("seq", "op").agg(F.count(F.lit(1)).alias("n")))

@@ -21,7 +21,11 @@ MESSAGE_SCHEMA = "topic int, seq long, published timestamp, payload binary"
 
 
 def records(spark: SparkSession, path: str, schema, **options) -> DataFrame:
-    """New records of a folder as a stream."""
+    """New records of a folder, or the records of one file, as a stream."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place) and files.getFileStatus(place).isFile():
+        path, options = place.getParent().toString(), options | {"pathGlobFilter": place.getName()}
     return spark.readStream.options(**options).schema(schema).parquet(path)
 
 
