@@ -24,59 +24,63 @@ def sample_by(df: DataFrame, ts: str, values: Sequence[str], interval: str, *, k
     return sampled if fill is None else fill_gaps(sampled, ts, values, micros, keys=keys, fill=fill)
 
 
-def grid(sampled: DataFrame, ts: str, micros: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Every bucket start between the first and last of each series."""
-    ends = sampled.groupBy(*keys).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
-    return ends.select(*keys, F.explode(F.sequence("__a", "__b", F.expr(f"INTERVAL {sql_interval(micros)}"))).alias(ts))
-
-
 def fill_gaps(sampled: DataFrame, ts: str, values: Sequence[str], micros: int, *, keys: Sequence[str] = (), fill: str | float) -> DataFrame:
-    full = grid(sampled, ts, micros, keys).join(sampled, [*keys, ts], "left")
-    if not isinstance(fill, str):
-        return full.select(*keys, ts, *(F.coalesce(F.col(v), F.lit(float(fill))).alias(v) for v in values))
-    fill = fill.lower()
-    if fill == "null":
-        return full.select(*keys, ts, *values)
-    known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(v).alias("v"))) for v in values}
-    full = full.select(*keys, ts, *values, *(c.alias(f"__k_{v}") for v, c in known.items()))
-    near = _nearest(full, ts, [f"__k_{v}" for v in values], keys, micros)
+    """Every bucket between the first and last of each series.
+
+    Each bucket that is there learns the next one and the nearest known values,
+    and then unfolds into itself and the gap after it: no grid is joined, and
+    only buckets with data are ever sorted.
+    """
+    kind = fill.lower() if isinstance(fill, str) else None
+    if kind not in (None, "null", "prev", "next", "linear"):
+        raise ValueError(f"unknown fill {fill!r}")
+    wanted = list(values) if kind in ("prev", "next", "linear") else []
+    near = _neighbours(sampled.select(*keys, ts, *values), ts, wanted, keys, micros)
+    step = F.expr(f"INTERVAL {sql_interval(micros)}")
+    unfolded = near.withColumn("__at", F.explode(F.sequence(F.col(ts), F.coalesce(F.col("__next") - step, F.col(ts)), step)))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")).cast("double")
     out = []
     for v in values:
-        before, after = F.col(f"__k_{v}_before"), F.col(f"__k_{v}_after")
-        if fill == "prev":
+        own = F.when(F.col("__at") == F.col(ts), F.col(v))
+        before, after = F.col(f"__before_{v}"), F.col(f"__after_{v}")
+        if kind is None:
+            new = F.lit(float(fill))
+        elif kind == "null":
+            new = F.lit(None)
+        elif kind == "prev":
             new = before["v"]
-        elif fill == "next":
+        elif kind == "next":
             new = after["v"]
-        elif fill == "linear":
-            at = lambda c: F.unix_micros(c.cast("timestamp")).cast("double")
-            new = before["v"] + (after["v"] - before["v"]) * (at(F.col(ts)) - at(before["t"])) / (at(after["t"]) - at(before["t"]))
         else:
-            raise ValueError(f"unknown fill {fill!r}")
-        out.append(F.coalesce(F.col(v), new).alias(v))
-    return near.select(*keys, ts, *out)
+            new = before["v"] + (after["v"] - before["v"]) * (seconds(F.col("__at")) - seconds(before["t"])) / (seconds(after["t"]) - seconds(before["t"]))
+        out.append(F.coalesce(own, new).alias(v))
+    return unfolded.select(*keys, F.col("__at").alias(ts), *out)
 
 
-def _nearest(df: DataFrame, ts: str, columns: list[str], keys: Sequence[str], micros: int) -> DataFrame:
-    """Adds for each column its last non-null at or before a row and its first at or after.
+def _neighbours(df: DataFrame, ts: str, values: list[str], keys: Sequence[str], micros: int) -> DataFrame:
+    """Adds ``__next``, the time of the next row, and for each value its last known (t, v) up to a row and first known after it.
 
-    Rows are cut by time into tasks of ``CUT`` buckets; what each cut ends and
-    starts with is carried over on the table of cuts, so that one long series
-    does not land in one task.
+    A series without keys is cut by time into tasks of ``CUT`` buckets; what the
+    cuts around hold is carried over on the table of cuts.
     """
-    cut = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros * CUT)).cast("bigint")
-    df = df.withColumn("__cut", cut)
-    ends = df.groupBy(*keys, "__cut").agg(*(f(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("c")))).alias(f"{c}_{n}") for c in columns for f, n in ((F.max, "l"), (F.min, "f"))))
-    series = Window.partitionBy(*keys).orderBy("__cut")
-    before, after = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(*keys, "__cut", *(F.last(f"{c}_l", True).over(before).alias(f"{c}_l") for c in columns), *(F.first(f"{c}_f", True).over(after).alias(f"{c}_f") for c in columns))
-    inner = Window.partitionBy(*keys, "__cut").orderBy(ts)
-    up, down = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(0, Window.unboundedFollowing)
-    out = df.join(carried, [*keys, "__cut"])
-    return out.select(
-        *(F.col(c) for c in df.columns if c != "__cut"),
-        *(F.coalesce(F.last(c, True).over(up), F.col(f"{c}_l.c")).alias(f"{c}_before") for c in columns),
-        *(F.coalesce(F.first(c, True).over(down), F.col(f"{c}_f.c")).alias(f"{c}_after") for c in columns),
-    )
+    known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(v).alias("v"))) for v in values}
+    df = df.select("*", *(c.alias(f"__k_{v}") for v, c in known.items()))
+    parts = list(keys)
+    if not keys:
+        df, parts = df.withColumn("__cut", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros * CUT)).cast("bigint")), ["__cut"]
+    w = Window.partitionBy(*parts).orderBy(ts)
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    near = {"__next": F.lead(ts).over(w)}
+    for v in values:
+        near |= {f"__before_{v}": F.last(f"__k_{v}", True).over(up), f"__after_{v}": F.first(f"__k_{v}", True).over(down)}
+    out = df.select("*", *(c.alias(n) for n, c in near.items()))
+    if not keys:
+        ends = df.groupBy("__cut").agg(F.min(ts).alias("c__next"), *(f(f"__k_{v}").alias(f"c__{n}_{v}") for v in values for f, n in ((F.max, "before"), (F.min, "after"))))
+        series = Window.orderBy("__cut")  # one row a cut
+        earlier, later = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(1, Window.unboundedFollowing)
+        carried = ends.select("__cut", F.first("c__next").over(later).alias("c__next"), *(F.last(f"c__before_{v}", True).over(earlier).alias(f"c__before_{v}") for v in values), *(F.first(f"c__after_{v}", True).over(later).alias(f"c__after_{v}") for v in values))
+        out = out.join(carried, "__cut").withColumns({n: F.coalesce(n, f"c{n}") for n in near})
+    return out
 
 
 def moving(df: DataFrame, value: str, n: int, order: Sequence[str], *, keys: Sequence[str] = (), how: Callable[[Column], Column] = F.avg, name: str | None = None) -> DataFrame:
