@@ -8,10 +8,10 @@ each band, so pairs grow with the rows and not with a group's square. Every
 edge is confirmed on the full sets.
 
 A star can miss a link between two members that are both unlike the centre. So
-buckets whose members are still in different components come back: members of
-a small bucket are compared with those of other components; a large bucket is
-split by the remaining bands, in which truly similar members meet again, and
-the parts are treated in the same way.
+buckets whose members are still in different components come back: members
+outside the largest component are compared with all of other components, while
+they are few; a bucket with many is split by the remaining bands, in which truly
+similar members meet again, and the parts are treated in the same way.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SKETCH_SQL = "doc_id long, n long, key1 long, key2 long, bands array<long>"
-SMALL = 32
+#: Members outside a bucket's largest component up to which all pairs across components are compared.
+MOST = 32
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -124,21 +125,39 @@ class _Linker:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
 
-def _stars(buckets: DataFrame, linker: _Linker, seed: int) -> DataFrame:
+def _crowded(buckets: DataFrame, seed: int) -> DataFrame:
+    """(key, node, n, centre) of buckets with more than one member.
+
+    The centre is the node whose number, mixed with the key, is smallest: another
+    one in each bucket, found by hash aggregation on numbers alone.
+    """
+    mixed = F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(seed)))
+    centres = buckets.groupBy("key").agg(F.min(mixed).alias("c"), F.count(F.lit(1)).alias("members"))
+    centres = materialize(centres.filter("members > 1").select("key", F.col("c").bitwiseXOR(F.xxhash64("key", F.lit(seed))).alias("centre")), "centres")
+    return materialize(buckets.join(centres, "key").select("key", "node", "n", "centre"), "crowded")
+
+
+def _stars(crowded: DataFrame) -> DataFrame:
     """Distinct (u, v): each bucket's centre with all its other members."""
-    centres = buckets.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key", F.lit(seed))).alias("c"), F.count(F.lit(1)).alias("members"))
-    centres = materialize(centres.filter("members > 1"), "centres")
-    edges = buckets.join(centres, "key").filter(F.col("node") != F.col("c.node")).filter(linker.may_link(F.col("n"), F.col("c.n")))
-    return edges.select(*_pairs(F.col("node"), F.col("c.node"))).distinct()
+    return crowded.filter("node <> centre").select(*_pairs(F.col("node"), F.col("centre"))).distinct()
+
 
+def _open_pairs(crowded: DataFrame, roots: DataFrame, linker: _Linker) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components of the same bucket, and the buckets with too many of them.
 
-def _unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold several components, with ``root`` and ``members``."""
-    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = materialize(mixed.filter("lo < hi").select("key", "members"), "mixed")
-    return labelled.join(mixed, "key")
+    A bucket's largest component is compared with the others only, never with
+    itself; a bucket is done here if that makes at most ``MOST`` pairs a member.
+    """
+    labelled = materialize(crowded.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "labelled")
+    counts = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("main")).filter("roots > 1")
+    mixed = materialize(mixed.select("key", "members", F.col("main.c").alias("main_size"), F.col("main.root").alias("main_root")), "mixed")
+    open_rows = materialize(labelled.join(mixed, "key"), "open")
+    few = (F.col("members") - F.col("main_size")) <= MOST
+    other = open_rows.filter(few).select("key", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    left = open_rows.filter(few & (F.col("root") != F.col("main_root"))).select("key", "node", "root", "n")
+    pairs = left.join(other, "key").filter((F.col("root") != F.col("root2")) & linker.may_link(F.col("n"), F.col("n2")))
+    return pairs.select(*_pairs(F.col("node"), F.col("node2"))).distinct(), open_rows.filter(~few).select("key", "node", "n")
 
 
 def find_near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
@@ -162,22 +181,18 @@ def find_near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85
     linker = _Linker(base, shingle, percent)
     buckets = classes.select(F.explode("bands").alias("key"), "node", F.col("n").cast("int").alias("n"))
 
-    links = linker.confirm(_stars(buckets, linker, 0))
+    crowded = _crowded(buckets, 0)
+    links = linker.confirm(_stars(crowded))
     roots = materialize(components(links), "roots")
     for level in range(1, 4):
-        open_rows = _unresolved(buckets, roots)
-        open_rows = materialize(open_rows, "open")
-        few = open_rows.filter(F.col("members") <= SMALL)
-        other = few.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-        pairs = few.join(other, "key").filter(F.col("root") < F.col("root2")).filter(linker.may_link(F.col("n"), F.col("n2")))
-        pairs = pairs.select(*_pairs(F.col("node"), F.col("node2"))).distinct()
-        large = open_rows.filter(F.col("members") > SMALL).select("key", "node", "n")
+        pairs, large = _open_pairs(crowded, roots, linker)
         more = not large.isEmpty()
         if more:
-            # members of a large bucket meet again by every other band
+            # members of a large bucket meet again, in smaller parts, by every other band
             again = classes.select("node", F.explode("bands").alias("band"))
-            buckets = materialize(large.join(again, "node").filter(F.col("band") != F.col("key")).select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node", "n").distinct(), "parts")
-            pairs = pairs.union(_stars(buckets, linker, level)).distinct()
+            parts = large.join(again, "node").filter(F.col("band") != F.col("key")).select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node", "n").distinct()
+            crowded = _crowded(materialize(parts, "parts"), level)
+            pairs = pairs.union(_stars(crowded)).distinct()
         new = linker.confirm(pairs.join(links, ["u", "v"], "left_anti"))
         if not new.isEmpty():
             links = materialize(links.union(new), "links")
