@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quern.llm import ann, decontaminate, html_text, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts
+from quern.llm import ann, decontaminate, graph, html_text, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, grp int, key string, n_words string"  # some names clash with inner ones
@@ -111,6 +111,25 @@ def test_near_finds_links_beside_a_crowd(spark, monkeypatch):
     assert got == {i: c for i, _, c, _ in brute.near(rows)}
 
 
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 470)] + [(900, k) for k in range(901, 960)] + [(5, 5)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    df = spark.createDataFrame(edges, "u long, v long")
+    for bound in (1 << 20, 0):
+        got = {r.node: r.root for r in graph.components(df, one_task=bound).collect()}
+        assert {x: got.get(x, x) for x in parent} == {x: find(x) for x in parent}
+
+
 def test_decontamination(spark, docs, rows):
     items = [(1, rows[16][1][:150]), (2, "one two"), (3, None), (4, ""), (5, words(random.Random(5), 12)), (None, "one two"), (2, rows[11][1]), (6, "É É")]
     bench = spark.createDataFrame(items, "item_id long, text string")
