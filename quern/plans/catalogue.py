@@ -419,12 +419,12 @@ def fn_utf8(t):
 
 
 @query(
-    "SELECT event_id, abs(-value) AS a, round(sqrt(abs(value)), 9) AS q, round(power(value, 2), 6) AS p, round(sin(value), 9) AS si, round(cos(value), 9) AS co, round(exp(-abs(value)/100), 9) AS e, round(ln(abs(value) + 1), 9) AS lg, round(value, 1) AS r, CAST(ceil(value) AS DOUBLE) AS ce, CAST(floor(value) AS DOUBLE) AS fl, CAST(-event_id % 3 AS BIGINT) AS m FROM events"
+    "SELECT event_id, abs(-value) AS a, round(sqrt(abs(value)), 9) AS q, round(power(value, 2), 9) AS p, round(sin(value), 9) AS si, round(cos(value), 9) AS co, round(exp(-abs(value)/100), 9) AS e, round(ln(abs(value) + 1), 9) AS lg, round(value, 1) AS r, CAST(ceil(value) AS DOUBLE) AS ce, CAST(floor(value) AS DOUBLE) AS fl, CAST(-event_id % 3 AS BIGINT) AS m FROM events"
 )
 def fn_math(t):
     v = F.col("value")
     return t.events.select(
-        "event_id", F.abs(-v).alias("a"), _n(F.sqrt(F.abs(v)), 9).alias("q"), _n(F.pow(v, F.lit(2)), 6).alias("p"), _n(F.sin(v), 9).alias("si"), _n(F.cos(v), 9).alias("co"), _n(F.exp(-F.abs(v) / 100), 9).alias("e"),
+        "event_id", F.abs(-v).alias("a"), _n(F.sqrt(F.abs(v)), 9).alias("q"), _n(F.pow(v, F.lit(2)), 9).alias("p"), _n(F.sin(v), 9).alias("si"), _n(F.cos(v), 9).alias("co"), _n(F.exp(-F.abs(v) / 100), 9).alias("e"),
         _n(S.natural_log(F.abs(v) + 1), 9).alias("lg"), F.round(v, 1).alias("r"), S.ceil(v).alias("ce"), S.floor(v).alias("fl"), (-F.col("event_id") % 3).cast("bigint").alias("m"),
     )
 
@@ -434,11 +434,11 @@ def fn_time_format(t):
     return t.events.select("event_id", T.to_iso8601(F.col("ts")).alias("iso"), T.to_char(F.col("ts"), "YYYY/MM/DD HH24:MI:SS YY").alias("c"))
 
 
-@query("SELECT event_id, round(epoch(ts), 6) AS e, ts + INTERVAL 90 MINUTE AS later, CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS BIGINT) AS d FROM events")
+@query("SELECT event_id, round(epoch(ts), 9) AS e, ts + INTERVAL 90 MINUTE AS later, CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS BIGINT) AS d FROM events")
 def fn_epoch(t):
     ts = F.col("ts")
     start = F.lit("2024-01-01").cast("timestamp_ntz")
-    return t.events.select("event_id", _n(T.to_epoch(ts), 6).alias("e"), (ts + F.expr("INTERVAL 90 MINUTE")).alias("later"), T.difference_micros(ts, start).alias("d"))
+    return t.events.select("event_id", _n(T.to_epoch(ts), 9).alias("e"), (ts + F.expr("INTERVAL 90 MINUTE")).alias("later"), T.difference_micros(ts, start).alias("d"))
 
 
 @query("SELECT event_id, timezone('America/New_York', ts AT TIME ZONE 'UTC') AS ny FROM events")
@@ -518,9 +518,9 @@ def json_valid(t):
 # ---- time series -----------------------------------------------------------------
 
 
-@query("SELECT time_bucket(INTERVAL '15 minutes', ts) AS bucket, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
+@query("SELECT time_bucket(INTERVAL '15 minutes', ts) AS bucket, round(avg(value), 9) AS mean, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
 def ts_bucket(t):
-    return t.events.groupBy(T.time_bucket("15m", F.col("ts")).alias("bucket")).agg(_n(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n")).orderBy("bucket")
+    return t.events.groupBy(T.time_bucket("15m", F.col("ts")).alias("bucket")).agg(_n(F.avg("value"), 9).alias("mean"), F.count(F.lit(1)).alias("n")).orderBy("bucket")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2024-01-01 00:30:00') AS bucket, count(*) AS n FROM events GROUP BY 1")
@@ -528,9 +528,9 @@ def ts_bucket_origin(t):
     return t.events.groupBy(T.time_bucket("1h", F.col("ts"), "2024-01-01 00:30:00").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS ts, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS ts, round(avg(value), 9) AS value FROM events GROUP BY 1, 2")
 def ts_sample_by(t):
-    return TS.sample_by(t.events, "ts", ["value"], "1h", keys=["event_type"]).withColumn("value", _n(F.col("value"), 6))
+    return TS.sample_by(t.events, "ts", ["value"], "1h", keys=["event_type"]).withColumn("value", _n(F.col("value"), 9))
 
 
 _FILL = """
@@ -539,12 +539,12 @@ g AS (SELECT unnest(generate_series((SELECT min(ts) FROM b), (SELECT max(ts) FRO
 f AS (SELECT g.ts, b.value FROM g LEFT JOIN b ON g.ts = b.ts),
 n AS (SELECT ts, value, last_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv, first_value(value IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
  last_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pt, first_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt FROM f)
-SELECT ts, round({}, 6) AS value FROM n
+SELECT ts, round({}, 9) AS value FROM n
 """
 
 
 def _filled(t: Tables, fill) -> DataFrame:
-    return TS.sample_by(t.events, "ts", ["value"], "5m", fill=fill).withColumn("value", _n(F.col("value"), 6))
+    return TS.sample_by(t.events, "ts", ["value"], "5m", fill=fill).withColumn("value", _n(F.col("value"), 9))
 
 
 @query(_FILL.format("pv"))
@@ -572,14 +572,14 @@ def ts_fill_null(t):
     return _filled(t, "null")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS ma FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS ma FROM events")
 def ts_moving_avg(t):
-    return TS.moving(t.events, "value", 5, ["ts", "event_id"], keys=["user_id"], name="m").select("event_id", _n(F.col("m"), 6).alias("ma"))
+    return TS.moving(t.events, "value", 5, ["ts", "event_id"], keys=["user_id"], name="m").select("event_id", _n(F.col("m"), 9).alias("ma"))
 
 
-@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ms FROM events")
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS ms FROM events")
 def ts_moving_sum(t):
-    return TS.moving(t.events, "value", 3, ["ts", "event_id"], keys=["user_id"], how=F.sum, name="m").select("event_id", _n(F.col("m"), 6).alias("ms"))
+    return TS.moving(t.events, "value", 3, ["ts", "event_id"], keys=["user_id"], how=F.sum, name="m").select("event_id", _n(F.col("m"), 9).alias("ms"))
 
 
 @query("SELECT event_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'")
@@ -592,14 +592,14 @@ def ts_latest(t):
     return TS.latest(t.events, "ts", 25, "event_id").select("event_id", "ts")
 
 
-@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, round(sum(value), 6) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, count(value) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10' GROUP BY 1 ORDER BY 1")
+@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, round(sum(value), 9) AS sum, round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max, count(value) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10' GROUP BY 1 ORDER BY 1")
 def ts_window_agg(t):
-    return TS.window_aggregates(t.events, "ts", "value", "2024-01-03", "2024-01-10", "6h").withColumns({c: _n(F.col(c), 6) for c in ("sum", "avg")})
+    return TS.window_aggregates(t.events, "ts", "value", "2024-01-03", "2024-01-10", "6h").withColumns({c: _n(F.col(c), 9) for c in ("sum", "avg")})
 
 
-@query("SELECT count(value) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10'")
+@query("SELECT count(value) AS count, round(sum(value), 4) AS sum, round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-10'")
 def ts_range_agg(t):
-    return TS.range_aggregate(t.events, "ts", "value", "2024-01-03", "2024-01-10").withColumns({"sum": _n(F.col("sum")), "avg": _n(F.col("avg"), 6)})
+    return TS.range_aggregate(t.events, "ts", "value", "2024-01-03", "2024-01-10").withColumns({"sum": _n(F.col("sum")), "avg": _n(F.col("avg"), 9)})
 
 
 @query("SELECT s AS window_start, s + INTERVAL '2 hours' AS window_end, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS s FROM events) GROUP BY 1, 2")
@@ -624,10 +624,10 @@ def ts_retention_hybrid(t):
     return TS.retain(t.events, "ts", keep="14d", now="2024-01-31", n=5, keys=["user_id"], ties=["event_id"]).select("event_id")
 
 
-@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS bucket, round(sum(value), 6) AS sum, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg FROM events GROUP BY 1, 2")
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS bucket, round(sum(value), 9) AS sum, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 9) AS avg FROM events GROUP BY 1, 2")
 def ts_rollup(t):
     hourly = TS.rollup(t.events, "ts", "value", "1h", ["event_type"])
-    return TS.with_average(TS.coarsen(hourly, "1d", ["event_type"])).withColumns({c: _n(F.col(c), 6) for c in ("sum", "avg")})
+    return TS.with_average(TS.coarsen(hourly, "1d", ["event_type"])).withColumns({c: _n(F.col(c), 9) for c in ("sum", "avg")})
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, count(value) AS count, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")
@@ -660,30 +660,30 @@ _QSQL = "[" + ", ".join(map(str, _Q)) + "]::DOUBLE[]"
 _E = "embedding::DOUBLE[]"
 
 
-@query(f"SELECT vec_id, round(list_distance({_E}, {_QSQL}), 6) AS distance FROM embeddings ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 10")
+@query(f"SELECT vec_id, round(list_distance({_E}, {_QSQL}), 9) AS distance FROM embeddings ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 10")
 def vec_l2_topk(t):
-    return VS.knn(t.embeddings, "embedding", _Q, 10, ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 6).alias("distance"))
+    return VS.knn(t.embeddings, "embedding", _Q, 10, ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 9).alias("distance"))
 
 
-@query(f"SELECT vec_id, round(list_inner_product({_E}, {_QSQL}), 6) AS distance FROM embeddings ORDER BY list_inner_product({_E}, {_QSQL}) DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, round(list_inner_product({_E}, {_QSQL}), 9) AS distance FROM embeddings ORDER BY list_inner_product({_E}, {_QSQL}) DESC, vec_id LIMIT 10")
 def vec_ip_topk(t):
-    return VS.knn(t.embeddings, "embedding", _Q, 10, metric="ip", ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 6).alias("distance"))
+    return VS.knn(t.embeddings, "embedding", _Q, 10, metric="ip", ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 9).alias("distance"))
 
 
-@query(f"SELECT vec_id, round(list_cosine_similarity({_E}, {_QSQL}), 6) AS distance FROM embeddings ORDER BY list_cosine_similarity({_E}, {_QSQL}) DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, round(list_cosine_similarity({_E}, {_QSQL}), 9) AS distance FROM embeddings ORDER BY list_cosine_similarity({_E}, {_QSQL}) DESC, vec_id LIMIT 10")
 def vec_cosine_topk(t):
-    return VS.knn(t.embeddings, "embedding", _Q, 10, metric="cosine", ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 6).alias("distance"))
+    return VS.knn(t.embeddings, "embedding", _Q, 10, metric="cosine", ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 9).alias("distance"))
 
 
-@query(f"SELECT vec_id, round(list_distance({_E}, {_QSQL}), 6) AS distance FROM embeddings WHERE list_distance({_E}, {_QSQL}) < 1.8")
+@query(f"SELECT vec_id, round(list_distance({_E}, {_QSQL}), 9) AS distance FROM embeddings WHERE list_distance({_E}, {_QSQL}) < 1.8")
 def vec_range(t):
-    return VS.within(t.embeddings, "embedding", _Q, 1.8).select("vec_id", _n(F.col("distance"), 6).alias("distance"))
+    return VS.within(t.embeddings, "embedding", _Q, 1.8).select("vec_id", _n(F.col("distance"), 9).alias("distance"))
 
 
-@query(f"SELECT vec_id, label, round(list_distance({_E}, {_QSQL}), 6) AS distance FROM embeddings WHERE label IN (1, 2, 3) AND list_distance({_E}, {_QSQL}) < 2.5 ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 10")
+@query(f"SELECT vec_id, label, round(list_distance({_E}, {_QSQL}), 9) AS distance FROM embeddings WHERE label IN (1, 2, 3) AND list_distance({_E}, {_QSQL}) < 2.5 ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 10")
 def vec_hybrid(t):
     near = VS.within(t.embeddings, "embedding", _Q, 2.5, where=F.col("label").isin(1, 2, 3))
-    return near.orderBy("distance", "vec_id").limit(10).select("vec_id", "label", _n(F.col("distance"), 6).alias("distance"))
+    return near.orderBy("distance", "vec_id").limit(10).select("vec_id", "label", _n(F.col("distance"), 9).alias("distance"))
 
 
 @query(f"SELECT vec_id, round(2 * list_sum({_E}) + list_sum({_QSQL}), 4) AS s FROM embeddings")
@@ -692,21 +692,21 @@ def vec_arith(t):
     return t.embeddings.select("vec_id", _n(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("s"))
 
 
-@query(f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_QSQL}), 6) AS d, list_cosine_similarity({_E}, {_QSQL}) >= 0.1 AS near FROM embeddings")
+@query(f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_QSQL}), 9) AS d, list_cosine_similarity({_E}, {_QSQL}) >= 0.1 AS near FROM embeddings")
 def vec_functions(t):
     e, q = F.col("embedding"), V.literal(_Q)
-    return t.embeddings.select("vec_id", _n(V.distance(e, q, "cosine"), 6).alias("d"), V.similar(e, q, "cosine", 0.1).alias("near"))
+    return t.embeddings.select("vec_id", _n(V.distance(e, q, "cosine"), 9).alias("d"), V.similar(e, q, "cosine", 0.1).alias("near"))
 
 
 @query()
 def vec_ivf(t):
     index = VS.IvfIndex(t.embeddings, "embedding", lists=8)
-    return index.search(_Q, 10, probes=4, ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 6).alias("distance"))
+    return index.search(_Q, 10, probes=4, ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 9).alias("distance"))
 
 
 @query()
 def vec_binary(t):
-    return VS.binary_knn(t.embeddings, "embedding", _Q, 10, ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 6).alias("distance"))
+    return VS.binary_knn(t.embeddings, "embedding", _Q, 10, ties=("vec_id",)).select("vec_id", _n(F.col("distance"), 9).alias("distance"))
 
 
 @query(f"SELECT vec_id, CAST(list_sum([CAST(round((greatest(least(x, 1.0), -1.0) + 1.0) * 255 / 2.0) AS INTEGER) FOR x IN {_E}]) AS BIGINT) AS s FROM embeddings")
@@ -764,25 +764,25 @@ def _engine(t: Tables, *names: str):
 
 @query(_FILL.format("pv"))
 def sql_sample_by(t):
-    return _engine(t, "events").sql("SELECT ts, value FROM events SAMPLE BY 5m FILL(PREV)").withColumn("value", _n(F.col("value"), 6))
+    return _engine(t, "events").sql("SELECT ts, value FROM events SAMPLE BY 5m FILL(PREV)").withColumn("value", _n(F.col("value"), 9))
 
 
-@query("SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS b, count(*) AS n, round(avg(value), 6) AS a FROM events WHERE value > 1 GROUP BY 1, 2")
+@query("SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS b, count(*) AS n, round(avg(value), 9) AS a FROM events WHERE value > 1 GROUP BY 1, 2")
 def sql_time_bucket(t):
     out = _engine(t, "events").sql("SELECT event_type, TIME_BUCKET('6h', ts) AS b, count(*) AS n, avg(value) AS a FROM events WHERE value > 1 GROUP BY event_type, b")
-    return out.withColumn("a", _n(F.col("a"), 6))
+    return out.withColumn("a", _n(F.col("a"), 9))
 
 
-@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS m FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) AS m FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def sql_moving_average(t):
     out = _engine(t, "events").sql("SELECT user_id, event_id, MOVING_AVERAGE(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM events WHERE JSON_HAS(props, '$.k')")
-    return out.withColumn("m", _n(F.col("m"), 6))
+    return out.withColumn("m", _n(F.col("m"), 9))
 
 
-@query(f"SELECT vec_id, label, round(list_distance({_E}, {_QSQL}), 6) AS d FROM embeddings WHERE label < 5 AND list_cosine_similarity({_E}, {_QSQL}) > 0 ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 15")
+@query(f"SELECT vec_id, label, round(list_distance({_E}, {_QSQL}), 9) AS d FROM embeddings WHERE label < 5 AND list_cosine_similarity({_E}, {_QSQL}) > 0 ORDER BY list_distance({_E}, {_QSQL}), vec_id LIMIT 15")
 def sql_vector_search(t):
     out = _engine(t, "embeddings").sql(f"SELECT vec_id, label, embedding <-> {_Q} AS d FROM embeddings WHERE label < 5 AND embedding <=> {_Q} > 0 ORDER BY embedding <-> {_Q}, vec_id LIMIT 15")
-    return out.withColumn("d", _n(F.col("d"), 6))
+    return out.withColumn("d", _n(F.col("d"), 9))
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS name, CAST(n_regionkey + CASE WHEN n_regionkey = 1 THEN 10 ELSE 0 END AS BIGINT) AS region FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 100, 'new', 7")
@@ -819,10 +819,10 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return streams.records(t.spark, f"{t.sf_dir}/{name}.parquet", getattr(t, name).schema)
 
 
-@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, round(sum(value), 6) AS sum, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg FROM events GROUP BY 1, 2")
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS bucket, round(sum(value), 9) AS sum, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 9) AS avg FROM events GROUP BY 1, 2")
 def stream_rollup(t):
     out = _final(t, streams.rollup(_stream(t, "events"), "ts", "value", "1h", keys=["event_type"]))
-    return out.withColumns({"bucket": F.col("bucket").cast("timestamp_ntz"), "sum": _n(F.col("sum"), 6), "avg": _n(F.col("avg"), 6)})
+    return out.withColumns({"bucket": F.col("bucket").cast("timestamp_ntz"), "sum": _n(F.col("sum"), 9), "avg": _n(F.col("avg"), 9)})
 
 
 @query(ORACLES["ts_sliding"].replace("count(*) AS n", "count(value) AS count").replace("SELECT unnest", "SELECT value, unnest").replace("s AS window_start, s + INTERVAL '2 hours' AS window_end", "s AS bucket").replace("GROUP BY 1, 2", "GROUP BY 1"))
