@@ -1,10 +1,12 @@
-"""Removal of repeated multi-line chunks, in DataFrame expressions only.
+"""Removal of repeated multi-line passages, in DataFrame expressions only.
 
-A rolling hash over the hashes of ``span`` neighbouring lines ends a chunk
-wherever it is divisible by ``average``; so chunk borders depend on nearby
-lines alone and survive insertions elsewhere. Chunks of two or more lines are
-counted over the corpus by hash; the first occurrence (by doc_id, then place)
-stays. The others are removed after their bytes were compared with it.
+Pieces of lines are counted over the corpus by hash; the first occurrence (by
+doc_id, then place) stays. The others are removed after their bytes were
+compared with it. Pieces are every two neighbouring lines, which finds each
+repeated passage, or content-defined chunks of two or more lines: a rolling
+hash over the hashes of ``span`` neighbouring lines ends a chunk wherever it is
+divisible by ``average``; so borders depend on nearby lines alone, but passages
+that enclose no whole chunk are not found.
 
 Only hashes are counted and joined first. Then the texts of first occurrences
 travel to the documents that repeat them, and the comparison happens there.
@@ -14,6 +16,8 @@ any shuffle, and stay where they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +41,24 @@ def _rolling(hashes: Column, i: Column, span: int) -> Column:
 
 
 def _chunks(base: DataFrame, span: int, average: int) -> DataFrame:
-    """Adds ``lines`` and ``chunks``: array of (at, n), first line and number of lines."""
+    """Adds ``lines`` and ``pieces``: array of (at, n, key), first line, number of lines and hash of chunks of several lines."""
     lines = base.withColumn("lines", F.split(F.col("text"), "\n"))
     hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     last = F.size("lines") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.xxhash64(_rolling(F.col("hashes"), i, span)), F.lit(average)) == 0))
     cut = hashed.withColumn("ends", ends)
     chunk = F.transform("ends", lambda e, k: F.struct(F.coalesce(F.get(F.col("ends"), k - 1) + 1, F.lit(0)).alias("at"), (e - F.coalesce(F.get(F.col("ends"), k - 1), F.lit(-1))).alias("n")))
-    return cut.withColumn("chunks", chunk).drop("ends", "hashes")
+    several = F.filter(chunk, lambda c: c["n"] > 1)
+    keyed = F.transform(several, lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(_text(c["at"], c["n"]), c["n"]).alias("key")))
+    return cut.withColumn("pieces", keyed).drop("ends", "hashes")
+
+
+def _windows(base: DataFrame) -> DataFrame:
+    """Adds ``lines`` and ``pieces``: array of (at, n, key) of every two neighbouring lines."""
+    lines = base.withColumn("lines", F.split(F.col("text"), "\n"))
+    hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    pair = F.transform(F.slice("hashes", 2, F.size("hashes")), lambda h, i: F.struct(i.alias("at"), F.lit(2).alias("n"), F.xxhash64(F.get(F.col("hashes"), i), h).alias("key")))
+    return hashed.withColumn("pieces", pair).drop("hashes")
 
 
 def _text(at: Column, n: Column) -> Column:
@@ -84,13 +98,26 @@ def remove_repeated_chunks(docs: DataFrame, *, span: int = 3, average: int = 4)
     other, and they get equal results. A null doc_id sorts first. Columns of
     any name may be present.
     """
+    return _remove(docs, lambda base: _chunks(base, span, average))
+
+
+def remove_repeated_runs(docs: DataFrame) -> DataFrame:
+    """Like remove_repeated_chunks, for every passage of two or more lines that occurred before.
+
+    Every line is a border here: all pairs of neighbouring lines are looked up,
+    so a repeated passage is found at any place and in its full length. Of its
+    first occurrence go only those lines that themselves repeat a still earlier
+    passage; one equal line of each removed line stays. An occurrence that
+    overlaps the first one within a text is not a repetition of it.
+    """
+    return _remove(docs, _windows)
+
+
+def _remove(docs: DataFrame, cutter: Callable[[DataFrame], DataFrame]) -> DataFrame:
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("src"))
     base = base.select("src", F.col("src.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("src.text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    cut = _chunks(base, span, average)
-    several = F.filter("chunks", lambda c: c["n"] > 1)
-    each = cut.select("doc_id", "row_key", "lines", F.explode(several).alias("c"))
-    keyed = each.select("doc_id", "row_key", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.xxhash64(_text(F.col("c.at"), F.col("c.n")), "c.n").alias("key"))
+    keyed = cutter(base).select("doc_id", "row_key", F.explode("pieces").alias("p")).select("doc_id", "row_key", "p.at", "p.n", "p.key")
     occurrences = materialize(keyed, "chunks")
     place = F.struct("doc_id", "row_key", "at", "n")
     counted = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -99,9 +126,10 @@ def remove_repeated_chunks(docs: DataFrame, *, span: int = 3, average: int = 4)
     wanted = repeated.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_set(F.struct("key", F.col("first.at").alias("at"), F.col("first.n").alias("n"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     near = base.select("row_key", "text").filter(_in_map(_bit_map(wanted, "row_key"), "row_key"))
-    sources = near.join(wanted, "row_key").withColumn("lines", F.split("text", "\n")).withColumn("w", F.explode("wanted"))
-    texts = materialize(sources.select(F.col("w.key").alias("key"), _text(F.col("w.at"), F.col("w.n")).alias("first_text")).dropDuplicates(["key"]), "firsts")
-    again = occurrences.join(repeated, "key").filter((F.col("row_key") != F.col("first.row_key")) | (F.col("at") != F.col("first.at"))).select("key", "row_key", "at", "n")
+    sources = near.join(wanted, "row_key").withColumn("lines", F.split("text", "\n"))
+    sources = sources.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), _text(w["at"], w["n"]).alias("first_text")))).alias("w"))
+    texts = materialize(sources.select("w.key", "w.first_text").dropDuplicates(["key"]), "firsts")
+    again = occurrences.join(repeated, "key").filter((F.col("row_key") != F.col("first.row_key")) | (F.col("at") >= F.col("first.at") + F.col("n"))).select("key", "row_key", "at", "n")
     again = materialize(again, "again")
     marks = again.join(texts, "key").select("row_key", F.struct("at", "n", "first_text").alias("mark"))
     marks = materialize(marks.groupBy("row_key").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "marks")
@@ -110,10 +138,11 @@ def remove_repeated_chunks(docs: DataFrame, *, span: int = 3, average: int = 4)
     out = apart.unionByName(base.filter(marked).join(marks, "row_key", "left")).withColumn("lines", F.split("text", "\n"))
     gone = F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: _text(m["at"], m["n"]) == m["first_text"])
     out = out.withColumn("gone", gone)
-    n_removed = F.aggregate("gone", F.lit(0).cast("long"), lambda s, m: s + m["n"])
-    # lines between removed chunks: before the k-th one, and after the last
+    # lines between removed pieces, which may overlap: before the k-th one, and after the last
     end = lambda k: F.coalesce(F.get(F.col("gone"), k)["at"], F.size("lines"))
     begin = lambda k: F.coalesce(F.get(F.col("gone"), k - 1)["at"] + F.get(F.col("gone"), k - 1)["n"], F.lit(0))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", begin(k) + 1, end(k) - begin(k))))
-    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0)))))
+    out = out.withColumn("kept", kept)
+    n_removed = (F.size("lines") - F.size("kept")).cast("long")
+    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join("kept", "\n"))
     return out.select("src", "doc_id", F.size("lines").cast("long").alias("n_lines"), n_removed.alias("n_removed"), text.alias("kept_text"))

@@ -235,6 +235,36 @@ def test_lines_of_sample(sample):
     assert got == {r[0]: r for r in brute.line_chunks(plain(sample))}
 
 
+def repeated_runs(rows):
+    """(doc_id, n_lines, n_removed, kept_text), by comparing all passages of two or more lines; ids must be distinct."""
+    seen, out = {}, []
+    for i, t in sorted(rows):
+        lines = (t or "").split("\n")
+        gone = set()
+        for size in range(2, len(lines) + 1):
+            for k in range(len(lines) - size + 1):
+                first = seen.setdefault(tuple(lines[k : k + size]), (i, k))
+                if first[0] != i or k >= first[1] + size:
+                    gone.update(range(k, k + size))
+        out.append((i, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t or ""))
+    return out
+
+
+def test_short_runs_of_lines_inside_documents(spark, docs, rows):
+    """Passages of two to four lines with other lines on both sides are found in full."""
+    rng = random.Random(12)
+    inside = []
+    for size in (2, 3, 4):
+        for _ in range(8):
+            shared = "\n".join(words(rng, 30, 10**6) for _ in range(size))
+            inside += ["\n".join([words(rng, 8, 10**6), shared, words(rng, 8, 10**6)]) for _ in range(2)]
+    inside = list(enumerate([*inside, "a\na\na", "b\nb\nb\nb\nb", "c\nd\nc\nd"]))
+    for some, given in ((frame(spark, inside), inside), (docs, rows)):
+        got = {r.doc_id: (r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.remove_repeated_runs(some).collect()}
+        assert got == {r[0]: r for r in repeated_runs(given)}
+    assert sum(r[2] for r in repeated_runs(inside)) == 8 * (2 + 3 + 4) + 3 + 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use the cookies of this site and of others to do what we do, and you agree that it is so.</p></div>{body}
 <div id="comments"><p>The reader says that it is a very good text, and that there is more of it to be read in the other one.</p></div><form><p>Your name</p></form><footer>&copy; all</footer></body></html>"""
