@@ -12,11 +12,14 @@ buckets whose members are still in different components come back: members
 outside the largest component are compared with all of other components, while
 they are few; a bucket with many is split by the bands that follow its own, in
 which truly similar members meet again, and the parts are treated in the same way.
+What is still large after ``SPLITS`` splits is compared exactly, all members
+outside the largest component with all others, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import rolling
 from .common import materialize, null_free, prepare
-from .graph import components
+from .graph import components, smallest_reachable
 from .substring_dedup import INSIDE
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -37,6 +40,9 @@ MOST = 128
 #: Bands that split a large bucket. A pair at 85 percent that shares a band shares one of the
 #: next six as well with probability 0.94, and it shares twelve bands on average.
 FOLLOWING = 6
+SPLITS = 3
+#: Members, and shingles, of one side of a block of the exact comparison.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -105,6 +111,66 @@ def _sets(size: int):
     return run
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(common):
+        return out
+    sides = []
+    for sets in (a, b):
+        row, value = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, value), len(common) - 1)
+        held = common[at] == value
+        order = np.argsort(at[held], kind="stable")
+        row, at = row[held][order], at[held][order]
+        sides.append((row, np.searchsorted(at, np.arange(len(common) + 1))))
+    (ra, ea), (rb, eb) = sides
+    na, nb = np.diff(ea), np.diff(eb)
+    # rare shingles pair by pair, the others by products of matrices of ones and zeros
+    rare = np.flatnonzero(na * nb <= 256)
+    for lo in range(0, len(rare), 1 << 14):
+        ids = rare[lo : lo + (1 << 14)]
+        each = (na * nb)[ids]
+        which = np.repeat(ids, each)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        np.add.at(out, (ra[ea[which] + k // nb[which]], rb[eb[which] + k % nb[which]]), 1)
+    often = np.flatnonzero(na * nb > 256)
+    for lo in range(0, len(often), 512):
+        ids = often[lo : lo + 512]
+        ones = []
+        for rows, edges, n, size in ((ra, ea, na, len(a)), (rb, eb, nb, len(b))):
+            m = np.zeros((size, len(ids)), np.float32)
+            column = np.repeat(np.arange(len(ids)), n[ids])
+            k = np.arange(len(column)) - np.repeat(np.cumsum(n[ids]) - n[ids], n[ids])
+            m[rows[np.repeat(edges[ids], n[ids]) + k], column] = 1
+            ones.append(m)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _block(percent: int):
+    """(u, v) that join the same nodes as all links between the two sides of a block."""
+
+    def run(block: pa.Table) -> pa.Table:
+        left = np.asarray(block["outside"])
+        node, root = np.asarray(block["node"]), np.asarray(block["root"])
+        flat = block["shingles"].combine_chunks()
+        edges, values = np.asarray(flat.offsets), np.asarray(flat.values)
+        sets = [values[edges[k] : edges[k + 1]] for k in range(len(node))]
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        u = v = np.zeros(0, np.int64)
+        if len(a) and len(b):
+            shared = _shared([sets[k] for k in a], [sets[k] for k in b]).astype(np.int64)
+            n = np.diff(edges)
+            linked = (100 * shared >= percent * (n[a][:, None] + n[b][None, :] - shared)) & (root[a][:, None] != root[b][None, :])
+            x, y = np.nonzero(linked)
+            u, v = smallest_reachable(node[a[x]], node[b[y]]) if len(x) else (u, v)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def _pairs(left, right) -> list:
     return [F.least(left, right).alias("u"), F.greatest(left, right).alias("v")]
 
@@ -123,6 +189,32 @@ class _Linker:
         shared = F.size(F.array_intersect("a", "b"))
         return materialize(both.filter(100 * shared >= self.percent * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
 
+    def compare(self, large: DataFrame, roots: DataFrame) -> DataFrame:
+        """Edges that join what all links between different components within the given buckets join.
+
+        Buckets with common members are one group, so a pair is compared once or,
+        if both are outside the group's largest component, twice. Work grows with
+        the product of the members outside that component and all members.
+        """
+        lowest = large.groupBy("key").agg(F.min("node").alias("v"))
+        together = materialize(large.join(lowest, "key").select(F.col("node").alias("u"), "v").distinct(), "together")
+        group = components(together).select("node", F.col("root").alias("grp"))
+        sizes = large.groupBy("node").agg(F.max("n").cast("long").alias("n"))
+        members = group.join(sizes, "node").join(roots, "node", "left").select("grp", "node", "n", F.coalesce("root", "node").alias("root"))
+        members = materialize(members, "members")
+        parts = members.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        of = parts.groupBy("grp").agg(F.max(F.struct("c", "root", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("c > main.c")
+        blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        of = of.select("grp", F.col("main.root").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("few"), blocks(F.col("c"), F.col("s")).alias("all"))
+        dealt = materialize(members.join(of, "grp").withColumn("salt", F.xxhash64("node")), "dealt")
+        sets = materialize(self.docs.join(dealt.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(self.size), "node long, shingles array<long>"), "sets")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        own = lambda n: F.pmod("salt", n).cast("int")
+        left = dealt.filter("root <> main").select("grp", "node", "root", F.lit(True).alias("outside"), own(F.col("few")).alias("i"), every(F.col("all")).alias("j"))
+        right = dealt.select("grp", "node", "root", F.lit(False).alias("outside"), every(F.col("few")).alias("i"), own(F.col("all")).alias("j"))
+        found = left.unionByName(right).join(sets, "node").groupBy("grp", "i", "j").applyInArrow(_block(self.percent), "u long, v long")
+        return materialize(found.filter("u <> v").distinct(), "links")
+
     def may_link(self, n, m):
         """Sizes that allow the wanted similarity at all."""
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
@@ -192,10 +284,11 @@ def find_near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85
     crowded = _crowded(buckets)
     links = linker.confirm(_stars(crowded))
     roots = materialize(components(links), "roots")
-    for _ in range(3):
+    for step in count():
         pairs, large = _open_pairs(crowded, roots, classes, linker)
         more = not large.isEmpty()
-        if more:
+        split = more and step < SPLITS
+        if split:
             # members of a large bucket meet again, in smaller parts, by the bands that follow
             after = F.pmod(F.col("at") + F.col("step"), F.lit(bands)).cast("int")
             again = large.join(classes.select("node", "bands"), "node").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(min(FOLLOWING, bands - 1)))))
@@ -203,10 +296,12 @@ def find_near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85
             crowded = _crowded(materialize(parts, "parts"))
             pairs = pairs.union(_stars(crowded)).distinct()
         new = linker.confirm(pairs)
+        if more and not split:
+            new = new.union(linker.compare(large, roots))
         if not new.isEmpty():
             links = materialize(links.union(new), "links")
             roots = materialize(components(links), "roots")
-        if not more:
+        if not split:
             break
     named = classes.select("key1", "key2", "n", "node").join(roots, "node", "left").select("key1", "key2", "n", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")

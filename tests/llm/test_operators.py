@@ -111,6 +111,27 @@ def test_near_finds_links_beside_a_crowd(spark, monkeypatch):
     assert got == {i: c for i, _, c, _ in brute.near(rows)}
 
 
+def test_near_compares_what_stays_crowded_after_all_splits(spark, monkeypatch):
+    """Members that agree in all bands stay together; links beside the centre are found all the same."""
+    rng = random.Random(9)
+    common = words(rng, 60, 10**6)
+    rows = []
+    for k in range(40):
+        own = words(rng, 14, 10**6)
+        rows += [(3 * k, f"{common} {own}"), (3 * k + 1, f"{common} {own} z{k}")]
+    monkeypatch.setattr(near_dedup, "MOST", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    got = {r.doc_id: r.component_id for r in near_dedup.find_near_duplicates(frame(spark, rows), bands=4, rows=1).collect()}
+    assert got == {i: c for i, _, c, _ in brute.near(rows)}
+
+
+def test_shared_shingles():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.append(rng.integers(0, 3000, 200), rng.integers(0, 40, 30))) for _ in range(70)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[30:]] for x in sets[:30]]
+    assert (near_dedup._shared(sets[:30], sets[30:]) == np.array(want)).all()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 470)] + [(900, k) for k in range(901, 960)] + [(5, 5)]
