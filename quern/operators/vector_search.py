@@ -28,6 +28,11 @@ def within(df: DataFrame, column: str, query: list[float], bound: float, *, metr
     return scored.filter(F.col(name) < bound if metric == "l2" else F.col(name) >= bound)
 
 
+def _reach(near: DataFrame, k: int) -> Column:
+    """Distance of the last of k found rows, with room for rounding; null where fewer have one."""
+    return near.agg(F.when(F.count("distance") == k, F.max("distance") * (1 + 1e-9) + 1e-9).alias("reach")).scalar()
+
+
 class IvfIndex:
     """Inverted lists by k-means; a search reads the nearest lists and ranks their rows exactly."""
 
@@ -58,12 +63,22 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def binary_knn(df: DataFrame, column: str, query: list[float], k: int, *, shortlist: int = 100, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Shortlist by Hamming distance of sign codes, then exact L2."""
+    """Exact L2 of every row that the sign codes cannot exclude; the result is that of ``knn``.
+
+    A shortlist by Hamming distance gives k near rows. A component whose sign
+    differs from the query's adds at least the square of the query's own, which
+    bounds every row's distance by its code; rows bounded beyond those k are left out.
+    """
     code = F.lit(0).cast("bigint")
     for x in query:
         code = F.shiftleft(code, 1).bitwiseOR(F.lit(1 if x > 0 else 0).cast("bigint"))
     short = df.withColumn("__h", hamming(binary_code(F.col(column)), code)).orderBy("__h", *ties).limit(shortlist).drop("__h")
-    return knn(short, column, query, k, ties=ties)
+    reach = _reach(knn(short, column, query, k, ties=ties), k)
+    # the last component is the lowest bit; a code holds the last 64
+    squares = F.array(*(F.lit(float(x) * float(x)) for x in query[:-65:-1]))
+    differs = binary_code(F.col(column)).bitwiseXOR(code)
+    least = F.aggregate(squares, F.struct(F.lit(0.0).alias("s"), differs.alias("d")), lambda a, x: F.struct((a["s"] + F.when(a["d"].bitwiseAND(F.lit(1).cast("bigint")) == 1, x).otherwise(0.0)).alias("s"), F.shiftrightunsigned(a["d"], 1).alias("d")), lambda a: F.sqrt(a["s"]))
+    return knn(df, column, query, k, where=F.coalesce((least <= reach) | differs.isNull(), F.lit(True)), ties=ties)
 
 
 def scalar_quantize(v: Column, low: float, high: float, levels: int = 255) -> Column:
