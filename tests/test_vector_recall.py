@@ -26,3 +26,8 @@ def recall(found, exact):
 
 def test_binary(embeddings, exact):
     assert recall(lambda q: VS.binary_knn(embeddings, "embedding", q, 10, ties=("vec_id",)), exact) == 1
+
+
+def test_ivf(embeddings, exact):
+    index = VS.IvfIndex(embeddings, "embedding", lists=8)
+    assert recall(lambda q: index.search(q, 10, probes=4, ties=("vec_id",)), exact) == 1
