@@ -52,6 +52,7 @@ BAD_NAMES = frozenset("ad ads adv advert advertisement adverts adsense banner br
 BAD_OUTSIDE = frozenset("alert copyright disclaimer header legal masthead topbar".split())
 
 TOKEN = re.compile(
+    r"""<(?:svg|math)\b(?:[^>"']|"[^"]*"|'[^']*')*+>(?<=/>)|"""
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"""
     r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.DOTALL | re.IGNORECASE,

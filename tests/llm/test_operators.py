@@ -304,6 +304,11 @@ def test_html(body, text):
     assert html_text.main_text(PAGE.format(body=body)) == text
 
 
+@pytest.mark.parametrize("icon", ['<svg class="i" viewBox="0 0 1 1"/>', "<math />", "<svg><path d='M0'/>x</svg>", "<svg/><svg>x</svg>"])
+def test_html_self_closed_icons(icon):
+    assert html_text.main_text(f"<article><p>one {icon} two</p><p>three</p></article>") == "one two three"
+
+
 def test_html_edges(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "u", "plain a < b"), (4, "u", "<p>open <b>never closed"), (5, "u", "<!-- open"), (6, "u", "<script>x"), (7, "u", "<article><p>" + "word of the " * 30000 + "</p></article>"), (8, "u", '<p title="a>b">t</p><a "')]
     out = {r.page_id: r for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
