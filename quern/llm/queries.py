@@ -30,7 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=32, rows=6)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

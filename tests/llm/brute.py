@@ -55,9 +55,9 @@ def shingles(text: str | None, size: int = 3) -> set:
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or {tuple(w)}
 
 
-def near(docs: list[tuple], percent: int = 85) -> list[tuple]:
+def near(docs: list[tuple], percent: int = 85, size: int = 3) -> list[tuple]:
     """(doc_id, n_shingles, component_id, kept); ids must be distinct."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):

@@ -92,37 +92,55 @@ def test_deep_shallow_order():
     assert [texts[i] for i in suffix_dedup.blind_trie_order(texts)] == sorted(texts)
 
 
+def near_of(df, **options):
+    options = {"shingle": 3, "percent": 85, "bands": 32, "rows": 6} | options
+    return {r.doc_id: (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(df, **options).collect()}
+
+
 def test_near(docs, rows):
-    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(docs).collect()}
+    got = near_of(docs)
     assert got == {r[0]: r for r in brute.near(rows)}
     assert sum(not r[3] for r in got.values()) > 25
+    got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(docs).collect()}
+    assert got == {r[0]: r for r in brute.near(rows, 80, 5)}
 
 
-def test_near_finds_links_beside_a_crowd(spark, monkeypatch):
-    """A bucket with members of many components is split until every link is found."""
+def beside_a_crowd():
+    """Pairs of linked texts that all share most of their words with all others, but are not linked with them."""
     rng = random.Random(9)
-    common = words(rng, 40, 10**6)
+    common = words(rng, 60, 10**6)
     rows = []
     for k in range(40):
         own = words(rng, 14, 10**6)
         rows += [(3 * k, f"{common} {own}"), (3 * k + 1, f"{common} {own} z{k}")]
-    monkeypatch.setattr(near_dedup, "MOST", 2)
-    got = {r.doc_id: r.component_id for r in near_dedup.find_near_duplicates(frame(spark, rows), rows=2).collect()}
-    assert got == {i: c for i, _, c, _ in brute.near(rows)}
+    return rows
 
 
-def test_near_compares_what_stays_crowded_after_all_splits(spark, monkeypatch):
-    """Members that agree in all bands stay together; links beside the centre are found all the same."""
-    rng = random.Random(9)
-    common = words(rng, 60, 10**6)
+@pytest.mark.parametrize(("members", "shingles", "options"), [(2048, 1 << 19, {"rows": 2}), (16, 1 << 19, {"bands": 4, "rows": 1}), (2048, 900, {"bands": 4, "rows": 1}), (8, 100, {})])
+def test_near_finds_links_beside_a_crowd(spark, monkeypatch, members, shingles, options):
+    """Buckets of many components are compared exactly, whole or as a grid of blocks."""
+    rows = beside_a_crowd()
+    monkeypatch.setattr(near_dedup, "SIDE_MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "SIDE_SHINGLES", shingles)
+    monkeypatch.setattr(near_dedup, "PLACES", 2)
+    want = {r[0]: r for r in brute.near(rows)}
+    assert len({r[2] for r in want.values()}) == 40
+    assert near_of(frame(spark, rows), **options) == want
+
+
+def test_near_on_a_dense_crowd(spark):
+    """Texts with a few words changed, with similarities on both sides of the bound."""
+    rng = random.Random(3)
+    base = words(rng, 130, 10**6).split()
     rows = []
-    for k in range(40):
-        own = words(rng, 14, 10**6)
-        rows += [(3 * k, f"{common} {own}"), (3 * k + 1, f"{common} {own} z{k}")]
-    monkeypatch.setattr(near_dedup, "MOST", 0)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    got = {r.doc_id: r.component_id for r in near_dedup.find_near_duplicates(frame(spark, rows), bands=4, rows=1).collect()}
-    assert got == {i: c for i, _, c, _ in brute.near(rows)}
+    for k in range(300):
+        text = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            text[rng.randrange(130)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    want = {r[0]: r for r in brute.near(rows)}
+    assert 20 < len({r[2] for r in want.values()}) < 290
+    assert near_of(frame(spark, rows)) == want
 
 
 def test_shared_shingles():
@@ -385,6 +403,8 @@ def test_null_and_repeated_ids(spark):
     assert [r.n_removed for r in substring_dedup.remove_repeated_windows(twice).filter("n_words > 0").collect()] == [80] * 4
     assert all(r.n_removed == r.n_bytes for r in suffix_dedup.remove_repeated_bytes(twice).collect())
     near = near_dedup.find_near_duplicates(twice).collect()
+    huge = frame(spark, [(1, words(random.Random(2), 200000, 10**6)), *[(7, text)] * 5000])
+    assert {r[2] for r in near_of(huge).values()} == {1, 7}
     assert sorted((r.doc_id, r.component_id, r.kept) for r in near if r.doc_id) == [(1, 1, True), (1, 1, True), (2, 1, False)]
     assert all(r.kept and r.component_id is None for r in near if r.doc_id is None) and len(near) == 5
     assert line_dedup.remove_repeated_chunks(twice).count() == 5

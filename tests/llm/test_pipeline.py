@@ -25,7 +25,7 @@ def test_stages(spark):
             want = {i: t for i, _, _, t in brute.line_chunks(pairs)}
             assert {i: r.text for i, r in after.items()} == want and all(r.n_chars == len(r.text) for r in after.values())
         elif name == "near_dedup":
-            assert set(after) == {i for i, _, _, kept in brute.near(pairs) if kept}
+            assert set(after) == {i for i, _, _, kept in brute.near(pairs, 80, 5) if kept}
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
             assert set(after) == {i for i, _, hit, _ in brute.contamination(pairs, items) if not hit}
