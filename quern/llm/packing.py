@@ -1,18 +1,24 @@
 """Packing of token sequences by a configuration linear program over lengths.
 
 1. Texts are tokenized once, cut into pieces, and numbered by (task, length);
-   only numbers are stored. 2. The histogram of lengths, at most ``size`` rows
-   whatever the corpus, goes to the driver. 3. Multiplicative weights solve the
-   covering program "fewest configurations that hold every length's count":
-   each round prices lengths by how far they are from covered, a knapsack
-   dynamic program finds the best configuration at these prices, and a share of
-   it is taken. Rounding down leaves a rest, which best-fit decreasing packs on
-   the histogram. 4. Every piece finds its place from its number alone.
+only numbers are stored. 2. The histogram of lengths, at most ``size`` rows
+whatever the corpus, goes to the driver. 3. Multiplicative weights solve the
+covering program "fewest configurations that hold every length's count". A
+round prices a length by its tokens times its weight; a knapsack dynamic program
+gives the best price of every amount of room, from which comes, for each length,
+the best configuration that holds it. Those of nearly the best price of all are
+taken as often as the counts allow, in whole sequences, until none is left.
+Then weights grow exponentially with the share of a length that was not
+covered, and the next round starts anew. The prices of each round bound the
+optimum from below; the rounds end near that bound, and the best one counts.
+What it leaves, a few sequences, goes to best-fit decreasing. 4. Every piece
+finds its place from its number alone.
 """
 
 from __future__ import annotations
 
 import array
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -157,50 +163,98 @@ class Plan:
         return {name: table[:, i].copy() for i, name in enumerate(("length", "first", "copies", "base", "offset"))}
 
 
-def price_knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> dict[int, int]:
-    """The configuration of greatest total price within ``size`` (copies unlimited)."""
-    best, choice = np.zeros(size + 1), np.full(size + 1, -1, np.int64)
+def room_values(lengths: np.ndarray, prices: np.ndarray, size: int) -> np.ndarray:
+    """The greatest total price of lengths within 0 .. ``size`` (copies unlimited); lengths ascend."""
+    best = np.zeros(size + 1)
     for room in range(int(lengths[0]), size + 1):
+        fits = int(np.searchsorted(lengths, room, "right"))
+        best[room] = max(best[room - 1], (best[room - lengths[:fits]] + prices[:fits]).max())
+    return best
+
+
+def priced_configuration(first: int, lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, best: np.ndarray, slack: float) -> tuple[float, dict[int, int]]:
+    """The configuration with the ``first``-th length that is best by the table of room values, among what is left; and its price.
+
+    Of lengths that are about as good the largest goes in: small ones close gaps later.
+    """
+    room, used = len(best) - 1 - int(lengths[first]), {first: 1}
+    total, near = float(prices[first]), slack * best[-1]
+    while room >= lengths[0]:
         fits = int(np.searchsorted(lengths, room, "right"))
         gain = best[room - lengths[:fits]] + prices[:fits]
-        k = int(gain.argmax())
-        if gain[k] > best[room - 1]:
-            best[room], choice[room] = gain[k], k
-        else:
-            best[room] = best[room - 1]
-    config: dict[int, int] = {}
-    room = size
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-            continue
-        length = int(lengths[choice[room]])
-        config[length] = config.get(length, 0) + 1
-        room -= length
-    return config
-
-
-def multiplicative_weights(histogram: dict[int, int], size: int, *, rounds: int = 160, rate: float = 4.0, share: float = 0.5) -> list[tuple[float, dict[int, int]]]:
-    """A fractional cover of the histogram: (amount, configuration) of each round."""
+        gain[left[:fits] == 0] = -1.0
+        for k, n in used.items():
+            if k < fits and n >= left[k]:
+                gain[k] = -1.0
+        most = gain.max()
+        if most < 0:
+            break
+        k = int(np.flatnonzero(gain >= most - near)[-1])
+        used[k] = used.get(k, 0) + 1
+        total += float(prices[k])
+        room -= int(lengths[k])
+    return total, used
+
+
+def fill(lengths: np.ndarray, need: np.ndarray, weights: np.ndarray, size: int, *, rounds: int = 100, rate: float = 0.01, most_slack: float = 0.1, reserve: float = 0.04) -> tuple[dict[tuple, int], np.ndarray]:
+    """Whole configurations of nearly the best price, and what they leave of ``need``."""
+    left, slack = need.copy(), 1e-3
+    taken: dict[tuple, int] = {}
+    for _ in range(rounds):
+        open_ = np.flatnonzero(left)
+        if not len(open_) or slack > most_slack:
+            break
+        own, kept = lengths[open_], (reserve * need[open_]).astype(np.int64)
+        prices = own * weights[open_] * np.exp(-rate * (1 - left[open_] / need[open_]))
+        best = room_values(own, prices, size)
+        before, mine = int(left.sum()), np.maximum(left[open_] - kept, 0)
+        # rare large lengths first: small ones fit in later
+        for first in range(len(own) - 1, -1, -1):
+            if not mine[first]:
+                continue
+            price, used = priced_configuration(first, own, prices, mine, best, slack / 4)
+            if price < (1 - slack) * best[size]:
+                continue
+            at, copies = np.array(list(used)), np.array(list(used.values()))
+            n = int((mine[at] // copies).min())
+            mine[at] -= n * copies
+            key = tuple(sorted((int(own[k]), c) for k, c in used.items()))
+            taken[key] = taken.get(key, 0) + n
+        left[open_] -= np.maximum(left[open_] - kept, 0) - mine
+        if left.sum() > 0.9 * before:
+            slack *= 2  # nearly optimal ones are used up
+    return taken, left
+
+
+@dataclass
+class Cover:
+    """What the program placed: configurations, the rest, and the dual bound on sequences."""
+
+    taken: list[tuple[int, dict[int, int]]]
+    rest: dict[int, int]
+    bound: int
+
+    def sequences(self, size: int) -> int:
+        return sum(n for n, _ in self.taken) + sum(n for n, _ in best_fit(self.rest, size))
+
+
+def multiplicative_weights(histogram: dict[int, int], size: int, *, rounds: int = 12, rate: float = 1.0, near: float = 5e-4) -> Cover:
+    """Whole configurations that cover the histogram, nearly as few as the program allows."""
     lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], float)
-    done = np.zeros(len(need))
-    taken: list[tuple[float, dict[int, int]]] = []
+    need = np.array([histogram[int(x)] for x in lengths], np.int64)
+    weights, bound, found, fewest = np.ones(len(lengths)), 0, None, math.inf
     for _ in range(rounds):
-        left = need - done
-        open_ = left >= 1
-        if not open_.any():
+        prices = lengths * weights
+        bound = max(bound, math.ceil(float((need * prices).sum() / room_values(lengths, prices, size)[size]) - 1e-6))
+        taken, left = fill(lengths, need, weights, size)
+        cover = Cover([(n, dict(key)) for key, n in taken.items()], {int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}, bound)
+        if (n := cover.sequences(size)) < fewest:
+            found, fewest = cover, n
+        if fewest <= bound * (1 + near):
             break
-        # weight falls exponentially with the covered share; a token's price is its length's weight
-        prices = lengths[open_] * np.exp(-rate * done[open_] / need[open_])
-        config = price_knapsack(lengths[open_], prices, size)
-        at = np.searchsorted(lengths, list(config))
-        copies = np.array(list(config.values()), float)
-        most = float((left[at] / copies).min())
-        amount = max(1.0, share * most) if most >= 1 else most
-        done[at] += amount * copies
-        taken.append((amount, config))
-    return taken
+        # lengths that were not covered weigh more from now on
+        weights = weights * np.exp(rate * (left / need - (left * lengths).sum() / (need * lengths).sum()))
+    return Cover(found.taken, found.rest, bound)
 
 
 def best_fit(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:
@@ -234,18 +288,9 @@ def best_fit(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int,
 
 
 def make_plan(histogram: dict[int, int], size: int) -> Plan:
-    """Rounded linear program plus best fit for its rest; plain best fit where that needs fewer."""
-    plain = Plan(size, best_fit(histogram, size))
-    least = -(-sum(k * n for k, n in histogram.items()) // size)
-    rest, kept = dict(histogram), []
-    for amount, config in multiplicative_weights(histogram, size):
-        n = min(int(amount), *(rest[k] // c for k, c in config.items()))
-        if n > 0:
-            kept.append((n, config))
-            for k, c in config.items():
-                rest[k] -= n * c
-    plan = Plan(size, kept + best_fit({k: n for k, n in rest.items() if n}, size))
-    return plan if plan.sequences() <= max(least, plain.sequences()) else plain
+    """The configurations of the program, and best fit for its rest."""
+    cover = multiplicative_weights(histogram, size)
+    return Plan(size, cover.taken + best_fit(cover.rest, size))
 
 
 def _place(shared):

@@ -260,7 +260,30 @@ def test_packing_plan():
         assert plan.sequences() <= 1.02 * fewest(histogram, 100) + 2
     # three of 34 do not fit, so the bound of the linear program is not the mean
     assert packing.make_plan({34: 10, 33: 10, 32: 10}, 100).sequences() <= 11
-    assert packing.price_knapsack(np.array([3, 5]), np.array([3.0, 6.0]), 11) == {5: 2} and packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
+    lengths, prices = np.array([3, 5]), np.array([3.0, 6.0])
+    best = packing.room_values(lengths, prices, 11)
+    assert best.tolist() == [0, 0, 0, 3, 3, 6, 6, 6, 9, 9, 12, 12]
+    assert packing.priced_configuration(1, lengths, prices, np.array([9, 9]), best, 0.0) == (12.0, {1: 2})
+    assert packing.priced_configuration(1, lengths, prices, np.array([9, 1]), best, 0.0) == (12.0, {1: 1, 0: 2})
+    assert packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
+
+
+def piece_histogram():
+    """Lengths like those of the documents: many full pieces, a broad middle, few short ones."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    lengths = np.clip(np.exp(rng.normal(6.2, 0.9, 11000)), 20, 2047).astype(int)
+    values, counts = np.unique(lengths, return_counts=True)
+    return {2048: 1500, **dict(zip(values.tolist(), counts.tolist(), strict=True))}
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_packing_comes_from_the_program(times):
+    histogram = {k: n * times for k, n in piece_histogram().items()}
+    cover = packing.multiplicative_weights(histogram, 2048)
+    placed, plan = sum(n for n, _ in cover.taken), packing.make_plan(histogram, 2048)
+    assert placed >= 0.9 * plan.sequences()
+    assert cover.bound <= fewest(histogram, 2048)
+    assert plan.sequences() <= 1.001 * cover.bound + 1
 
 
 def test_lines(docs, rows):
