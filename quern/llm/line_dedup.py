@@ -21,10 +21,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import BitMap
 from .common import materialize
 
-#: Two megabytes.
-MAP_BITS = 1 << 24
 MARKS = "array<struct<at:int,n:int,first_text:string>>"
 
 
@@ -65,29 +64,6 @@ def _text(at: Column, n: Column) -> Column:
     return F.array_join(F.slice("lines", at + 1, n), "\n")
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-
-
-def _bit_map(keys: DataFrame, name: str) -> Column:
-    """One array of MAP_BITS bits, with the bits of all keys set, as a scalar subquery.
-
-    Its size does not grow with the data; a crowded map only lets more rows through.
-    """
-    words = keys.select(_bit(F.col(name)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    zeros = keys.sparkSession.range(MAP_BITS >> 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
-    full = zeros.union(words).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    array = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("map"))
-    return materialize(array, "bits").scalar()
-
-
-def _in_map(bits: Column, key: str) -> Column:
-    """False only if the key was not put in."""
-    bit = _bit(F.col(key))
-    word = F.get(bits, F.shiftright(bit, 6).cast("int"))
-    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
-
-
 def remove_repeated_chunks(docs: DataFrame, *, span: int = 3, average: int = 4) -> DataFrame:
     """(src, doc_id, n_lines, n_removed, kept_text) of every row of ``docs``; src holds the row itself.
 
@@ -125,7 +101,7 @@ def _remove(docs: DataFrame, cutter: Callable[[DataFrame], DataFrame]) -> DataFr
     # texts of the first occurrences, cut where the documents lie
     wanted = repeated.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_set(F.struct("key", F.col("first.at").alias("at"), F.col("first.n").alias("n"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    near = base.select("row_key", "text").filter(_in_map(_bit_map(wanted, "row_key"), "row_key"))
+    near = base.select("row_key", "text").filter(BitMap(wanted, "row_key").may_hold("row_key"))
     sources = near.join(wanted, "row_key").withColumn("lines", F.split("text", "\n"))
     sources = sources.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), _text(w["at"], w["n"]).alias("first_text")))).alias("w"))
     texts = materialize(sources.select("w.key", "w.first_text").dropDuplicates(["key"]), "firsts")
@@ -133,7 +109,7 @@ def _remove(docs: DataFrame, cutter: Callable[[DataFrame], DataFrame]) -> DataFr
     again = materialize(again, "again")
     marks = again.join(texts, "key").select("row_key", F.struct("at", "n", "first_text").alias("mark"))
     marks = materialize(marks.groupBy("row_key").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "marks")
-    marked = _in_map(_bit_map(marks, "row_key"), "row_key")
+    marked = BitMap(marks, "row_key").may_hold("row_key")
     apart = base.filter(~marked).withColumn("marks", F.lit(None).cast(MARKS))
     out = apart.unionByName(base.filter(marked).join(marks, "row_key", "left")).withColumn("lines", F.split("text", "\n"))
     gone = F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: _text(m["at"], m["n"]) == m["first_text"])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
+from .bitmap import BitMap
 from .common import materialize, null_free, prepare
 from .graph import components, smallest_reachable
 from .substring_dedup import INSIDE
@@ -243,7 +244,9 @@ def _linked(docs: DataFrame, places: DataFrame, size: int, percent: int) -> Data
     blocks = max(1, -(-total // SIDE_SHINGLES))
     place = F.struct(F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int").alias("block"), "unit", "first", "root")
     lists = places.groupBy("node", "part").agg(F.collect_list(place).alias("places"))
-    dealt = docs.join(lists, F.col("doc_id") == F.col("node")).select("node", "text", "places").mapInArrow(_deal(size), DEALT_SQL)
+    # texts without a place stay where they are; the lists grow with the data, so they are not broadcast
+    texts = docs.filter(BitMap(places.select("node").distinct(), "node").may_hold("doc_id"))
+    dealt = texts.join(lists.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text", "places").mapInArrow(_deal(size), DEALT_SQL)
     return materialize(dealt.groupBy("block").applyInArrow(_compare(percent), "u long, v long").distinct(), "links")
 
 
