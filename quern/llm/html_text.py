@@ -1,13 +1,20 @@
 """Main-text extraction from HTML by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass: a block is decided
-*bad* in boilerplate (menus, footers, forms, hidden parts, parts whose class,
-id or role says so, text outside the article where the page has one) or when
-most of it is link text; *good* when it is long enough and has a running
-text's share of stop words; otherwise it stays open. Second pass: an open block
-takes the label of its nearest decided neighbours on its side of the article's
-border; where they differ it is good inside an article and bad elsewhere, and
-where none is decided it is good.
+*bad* in boilerplate (menus, footers, hidden parts, text outside the article
+where the page has one) or when most of it is link text; *good* when it is long
+enough and has a running text's share of stop words; otherwise it stays open.
+Second pass: an open block takes the label of its nearest decided neighbours on
+its side of the article's border; where they differ it is good inside an
+article and bad elsewhere, and where none is decided it is good.
+
+Class, id and role are hints only. A name that wholly means boilerplate
+("sidebar", "site-footer") condemns its element unless that holds the main
+article; a name that does in part ("related-work"), and a form, need a second
+witness: the element holds neither an article nor a main heading nor most of
+the page's text, and inside an article it is short or has many links. html,
+body, main and article are never judged by names, but for articles of reader
+comments beside or inside another one.
 
 Pages are independent: one map over the table, no shuffle.
 """
@@ -45,11 +52,18 @@ RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|tit
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 LEAVES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 pre figcaption legend summary".split())
 VOID = frozenset("br hr".split())
-BOILERPLATE = frozenset("nav footer aside form menu head dialog fieldset".split())
-BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+BOILERPLATE = frozenset("nav footer aside menu head dialog".split())
+BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 # Words in class and id that name boilerplate; the second line only outside an article.
-BAD_NAMES = frozenset("ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+BAD_NAMES = frozenset("ad ads adv advert advertisement adverts adsense adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 BAD_OUTSIDE = frozenset("alert copyright disclaimer header legal masthead topbar".split())
+# Words beside them that change nothing, words that turn them round, names of paid or hidden inline parts, and of reader comments.
+NEUTRAL = frozenset("area article bar block blog box buttons button container entry form global group inner left link links list main material mobile new page panel post posts primary right row secondary section site small sticky top bottom user wrap wrapper".split())
+NEGATIONS = frozenset("no not has have with without non".split())
+INLINE_NAMES = frozenset("ad ads adv advert advertisement adsense adsbygoogle sponsored hidden sr visuallyhidden".split())
+COMMENT_NAMES = frozenset("comment comments reply".split())
+NEVER_NAMED = frozenset("html body main article".split())
+CONTROLS = frozenset("button label".split())
 
 TOKEN = re.compile(
     r"""<(?:svg|math)\b(?:[^>"']|"[^"]*"|'[^']*')*+>(?<=/>)|"""
@@ -60,22 +74,74 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WORD = re.compile(r"\w+")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: Elements whose id names a place in an article, such as a heading's slug; elements that boilerplate and whole pages come in; elements without an end.
+NAMED_PLACES = frozenset("h1 h2 h3 h4 h5 h6 section p a span dt li figure".split())
+FORMS = frozenset("form fieldset".split())
+EMPTY = frozenset("img input wbr link meta base col embed source track area param".split())
 GOOD, BAD, OPEN = 1, 0, None
 
 
-def hinted(attrs: str, in_article: bool) -> bool:
-    """Whether an element's attributes name boilerplate."""
-    for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), html_lib.unescape(value.strip("\"'"))
-        if name in ("class", "id"):
-            parts = {p.lower() for p in NAME_PART.findall(value)}
-            if parts & BAD_NAMES or (not in_article and parts & BAD_OUTSIDE):
-                return True
-        elif name == "role" and value.lower() in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+class Hints(NamedTuple):
+    hidden: bool = False
+    whole: bool = False  # a name that wholly means boilerplate
+    partly: bool = False  # a name that does in part
+    paid: bool = False  # by whole names of INLINE_NAMES
+    comment: bool = False  # by whole names of COMMENT_NAMES
+    main: bool = False
+
+
+def hints_of(attrs: str, name: str, in_article: bool) -> Hints:
+    """What an element's attributes say about it."""
+    if not attrs or attrs.isspace():
+        return Hints()
+    bad_names = BAD_NAMES if in_article else BAD_NAMES | BAD_OUTSIDE
+    out = Hints()
+    for key, value in ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), html_lib.unescape(value.strip("\"'"))
+        if key == "class" or key == "id" and not (in_article and name in NAMED_PLACES):
+            for token in value.split():
+                parts = [x.lower() for x in NAME_PART.findall(token)]
+                bad = [x for x in parts if x in bad_names]
+                if not bad or NEGATIONS & set(parts):
+                    out = out._replace(paid=out.paid or parts[:1] == ["hidden"] or token.lower() in ("sr-only", "visuallyhidden"))
+                    continue
+                whole = all(x in bad_names or x in NEUTRAL or x.isdigit() for x in parts)
+                out = out._replace(whole=out.whole or whole, partly=out.partly or not whole)
+                out = out._replace(paid=out.paid or whole and bool(INLINE_NAMES & set(bad)), comment=out.comment or whole and bool(COMMENT_NAMES & set(bad)))
+        elif key == "role":
+            out = out._replace(whole=out.whole or value.lower() in BAD_ROLES, main=out.main or value.lower() in ("main", "article"))
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDING.search(value):
+            out = out._replace(hidden=True)
+    return out
+
+
+class Element(NamedTuple):
+    """An open element: bad in itself or by an ancestor, how many articles it is in, and the hinted elements it is in."""
+
+    name: str
+    bad: bool = False
+    inside: int = 0
+    hinted: tuple[int, ...] = ()
+
+
+class Hinted:
+    """An element that hints speak against, and what it turns out to hold."""
+
+    def __init__(self, whole: bool, inside: int, comment: bool):
+        self.whole, self.inside, self.comment = whole, inside, comment
+        self.chars = self.link_chars = 0
+        self.main = self.heading = False
+
+    def stands(self, chars: int) -> bool:
+        """Whether the hint holds, in a page with so much text that is not bad in itself."""
+        if self.comment:
+            return 2 * self.chars <= chars
+        if self.whole:
+            return not self.main
+        if self.main or self.heading or 2 * self.chars > chars:
+            return False
+        return not self.inside or self.chars <= 200 or self.link_chars > 0.3 * self.chars
 
 
 class Block(NamedTuple):
@@ -84,59 +150,114 @@ class Block(NamedTuple):
     bad: bool  # in boilerplate
     inside: bool  # in an article
     element: str
+    hinted: tuple[int, ...] = ()
+    nested: bool = False  # in an article inside another one
 
 
-def blocks(page: str) -> list[Block]:
-    """Every block that has text, in page order."""
-    found: list[Block] = []
-    parts: list[str] = []
-    link_chars = 0
-    links = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, bad, in article
-
-    def flush() -> None:
-        nonlocal link_chars
-        text = " ".join(html_lib.unescape("".join(parts)).split())
-        if text:
-            element, bad, inside = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, min(link_chars, len(text)), bad, inside, element))
-        parts.clear()
-        link_chars = 0
+class _Cutter:
+    """Cuts one page into blocks."""
+
+    def __init__(self):
+        self.found: list[Block] = []
+        self.hinted: list[Hinted] = []
+        self.stack: list[Element] = []
+        self.parts: list[str] = []
+        self.link_chars = self.links = self.articles = 0
+        #: An inline element whose text is left out: name, depth of equal names, open blocks around it.
+        self.muted: list | None = None
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else Element("")
 
-    def add(text: str) -> None:
-        nonlocal link_chars
+    def flush(self) -> None:
+        text = " ".join(html_lib.unescape("".join(self.parts)).split())
         if text:
-            parts.append(text)
-            if links:
-                link_chars += len(html_lib.unescape(text).strip())
+            top, link_chars = self.top, min(self.link_chars, len(text))
+            self.found.append(Block(text, link_chars, top.bad, top.inside > 0, top.name, top.hinted, sum(x.name == "article" for x in self.stack) > 1))
+            for k in () if top.bad else top.hinted:
+                self.hinted[k].chars += len(text)
+                self.hinted[k].link_chars += link_chars
+        self.parts.clear()
+        self.link_chars = 0
+
+    def add(self, text: str) -> None:
+        if text and not self.muted:
+            self.parts.append(text)
+            if self.links:
+                self.link_chars += len(html_lib.unescape(text).strip())
+
+    def inline(self, name: str, close: bool, attrs: str) -> None:
+        if name == "a":
+            self.links = max(0, self.links - 1) if close else self.links + 1
+        if self.muted:
+            if name == self.muted[0]:
+                self.muted[1] += -1 if close else 1
+                if not self.muted[1]:
+                    self.muted = None
+        elif not close and name not in EMPTY and not attrs.rstrip().endswith("/"):
+            hints = hints_of(attrs, name, self.top.inside > 0)
+            if name in CONTROLS or hints.hidden or hints.paid:
+                self.muted = [name, 1, len(self.stack)]
 
-    at = 0
+    def close(self, name: str) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i].name == name:
+                del self.stack[i:]
+                break
+        if self.muted and len(self.stack) < self.muted[2]:
+            self.muted = None
+
+    def open(self, name: str, attrs: str) -> None:
+        while self.stack and self.stack[-1].name in LEAVES and (name not in ("ul", "ol", "dl", "table") or self.stack[-1].name == "p"):
+            self.stack.pop()
+        if self.muted and len(self.stack) < self.muted[2]:
+            self.muted = None
+        _, bad, inside, within = self.top
+        self.links = 0
+        hints = hints_of(attrs, name, inside > 0)
+        article = name in ("main", "article") or hints.main
+        if name == "article":
+            self.articles += 1
+        for k in within:
+            # the first article of a page is its main one, unless it is a comment
+            self.hinted[k].main |= article and (name != "article" or self.articles == 1) and not hints.comment
+            self.hinted[k].heading |= article or name == "h1"
+        bad = bad or hints.hidden or name in BOILERPLATE or (name == "header" and not inside)
+        if name == "article" and hints.comment or name not in NEVER_NAMED and not hints.main and (hints.whole or hints.partly or name in FORMS):
+            within = (*within, len(self.hinted))
+            self.hinted.append(Hinted(hints.whole, inside, name == "article"))
+        self.stack.append(Element(name, bad, inside + article, within))
+
+
+def blocks(page: str) -> list[Block]:
+    """Every block that has text, in page order; those under a hint that stands are bad."""
+    cutter, at = _Cutter(), 0
     for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
+        cutter.add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
-        if name == "a":
-            links = max(0, links - 1) if m["close"] else links + 1
         if name not in BLOCKS:
+            cutter.inline(name, bool(m["close"]), m["attrs"])
             continue
-        flush()
+        cutter.flush()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            cutter.close(name)
         elif name not in VOID:
-            while stack and stack[-1][0] in LEAVES and (name not in ("ul", "ol", "dl", "table") or stack[-1][0] == "p"):
-                stack.pop()
-            _, bad, inside = stack[-1] if stack else ("", False, False)
-            links = 0
-            inside = inside or name in ("article", "main")
-            bad = bad or name in BOILERPLATE or (name == "header" and not inside) or hinted(m["attrs"], inside)
-            stack.append((name, bad, inside))
-    add(page[at:])
-    flush()
+            cutter.open(name, m["attrs"])
+    cutter.add(page[at:])
+    cutter.flush()
+    found = cutter.found
+    chars = sum(len(x.text) for x in found if not x.bad)
+    against = [k for k, x in enumerate(cutter.hinted) if x.stands(chars)]
+    if against:
+        found = [x._replace(bad=True) if set(x.hinted) & set(against) else x for x in found]
+    # articles inside an article are comments on it, unless the outer one only wraps them
+    own = sum(len(x.text) for x in found if x.inside and not x.bad and not x.nested and x.element != "h1")
+    if own >= sum(len(x.text) for x in found if x.nested and not x.bad):
+        found = [x._replace(bad=True) if x.nested else x for x in found]
     return found
 
 

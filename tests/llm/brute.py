@@ -138,3 +138,32 @@ def line_chunks(docs: list[tuple], span: int = 3, average: int = 4) -> list[tupl
         n = sum(len(lines) for _, _, lines in own)
         out.append((i, n, n - len(kept), "\n".join(kept) if n > len(kept) else t or ""))
     return out
+
+
+def article_text(page: str) -> str:
+    """Text of the article elements, block by block, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        depth, off, blocks = 0, 0, ("",)
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.off += tag in ("script", "style", "nav", "aside", "footer", "form", "title")
+            if tag not in ("b", "i", "a", "em", "strong", "span"):
+                self.blocks = (*self.blocks, "")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.off -= tag in ("script", "style", "nav", "aside", "footer", "form", "title")
+            if tag not in ("b", "i", "a", "em", "strong", "span"):
+                self.blocks = (*self.blocks, "")
+
+        def handle_data(self, data):
+            if self.depth and not self.off:
+                self.blocks = (*self.blocks[:-1], self.blocks[-1] + data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join(" ".join(b.split()) for b in reader.blocks if b.split())

@@ -350,6 +350,49 @@ def test_html_self_closed_icons(icon):
     assert html_text.main_text(f"<article><p>one {icon} two</p><p>three</p></article>") == "one two three"
 
 
+GOOD = "It was the best of times, it was the worst of times, and there is more of it in the book that we have here."
+MORE = "There was a king with a large jaw and a queen with a plain face, on the throne of the country, and it was so."
+PAGES = [
+ ('<body class="home no-sidebar"><article><p>%s</p></article>', GOOD),
+ ('<html class="js cookie-consent-ok"><body><article><p>%s</p></article></body></html>', GOOD),
+ ('<body><div class="content-with-sidebar"><article><p>%s</p></article></div>', GOOD),
+ ('<body><article class="post hentry comment-open"><p>%s</p></article>', GOOD),
+ ('<article><p>%s</p><section id="related-work"><p>Other text.</p></section></article>', GOOD + " Other text."),
+ ('<article><h2 id="search">Search</h2><p>%s</p></article>', "Search " + GOOD),
+ ('<article><p>%s <span class="ad">Buy now</span>end</p></article>', GOOD + " end"),
+ ('<article><p>%s <span hidden>no</span>x<i style="display:none">no</i>y</p></article>', GOOD + " xy"),
+ ('<article><p>%s</p><button>Like</button><label>Name</label><p>End</p></article>', GOOD + " End"),
+ ('<article><p>%s</p></article><article class="comment"><p>The reader says that it is a very good text of the writer.</p></article>', GOOD),
+ ('<article><p>%s</p><article><p>The reader says that it is a very good text.</p></article></article>', GOOD),
+ ('<article><p>%s</p><section class="comments"><article><p>The reader says that it is a very good text.</p></article></section></article>', GOOD),
+ ('<article><p>%s</p><div id="comments"><p>The reader says that it is a very good text of the writer, and more of it.</p></div></article>', GOOD),
+ ('<form id="aspnetForm"><div class="page"><h1>Title</h1><p>%s</p></div></form>', "Title " + GOOD),
+ ('<body><form><p>Your name</p><input name=x><p>The text that you write to us is for us only, and it will not be read by others.</p></form><div><p>%s</p><p>%s</p></div>' % ("%s", MORE), GOOD + " " + MORE),
+ ('<div class="site-footer"><p>It is all of the text that we have on the site, and it is ours.</p></div><div><p>%s</p></div>', GOOD),
+ ('<article><p>a<pre><code><span class="comment">// note</span> x = 1</code></pre><p>%s</p></article>', "a // note x = 1 " + GOOD),
+ ('<article><p><span hidden>never closed<p>%s</p></article>', GOOD),
+ ('<article><p>%s</p><div class="share-buttons"><a href="/">Share</a> it</div><ins class="adsbygoogle">Buy</ins></article>', GOOD),
+ ('<div role="main"><p>%s</p></div><div><p>Outside of it is the text that is not of the article, and it is not to be read.</p></div>', GOOD),
+ ('<main class="sidebar-layout"><article class="sponsored-post"><p>%s</p></article></main>', GOOD),
+ ('<article><article><p>%s</p></article><article><p>x</p></article></article>', GOOD + " x"),
+ ('<div class="widget"><main><p>%s</p></main></div>', GOOD),
+]
+
+
+@pytest.mark.parametrize("case", range(len(PAGES)))
+def test_html_hints(case):
+    page, text = PAGES[case]
+    assert html_text.main_text(page % GOOD) == text
+
+
+def test_html_of_all_pages(spark):
+    """Against a slow version for pages whose article element holds all of their text and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: brute.article_text(r.html or "") for r in pages.collect()}
+    got = html_text.extract_main_text(pages).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got) and len(want) >= 200
+
+
 def test_html_edges(spark):
     pages = [(1, "u", None), (2, None, ""), (None, "u", "plain a < b"), (4, "u", "<p>open <b>never closed"), (5, "u", "<!-- open"), (6, "u", "<script>x"), (7, "u", "<article><p>" + "word of the " * 30000 + "</p></article>"), (8, "u", '<p title="a>b">t</p><a "')]
     out = {r.page_id: r for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
