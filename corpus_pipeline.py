@@ -27,8 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the line chunks that an earlier one has; n_chars follows the text."""
-    kept = line_dedup.remove_repeated_chunks(docs)
+    """Every document, without the passages of two or more lines that an earlier one has; n_chars follows the text."""
+    kept = line_dedup.remove_repeated_lines(docs)
     new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("src.text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
