@@ -3,8 +3,12 @@
 A table version is a list of parts. INSERT adds a part; UPDATE and DELETE write
 one new part list; nothing is changed in place. So a transaction is a copy of
 the version map, ROLLBACK puts it back, readers keep what they see, and a lost
-executor costs a retry only. Versions drive incremental snapshots, and each
-change leaves a part in the change feed, which streams can follow.
+executor costs a retry only. Versions drive incremental snapshots.
+
+The version map itself is a small file in the root, written anew after each
+statement outside a transaction and at COMMIT, so a new session on the same
+root finds all committed tables. Changes go to the change feed, which streams
+can follow, at the same moments: what was rolled back is never seen there.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import json
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +51,9 @@ class Database:
         self.tables: dict[str, Version] = {}
         self._saved: dict[str, Version] | None = None
         self._seq = 0
+        #: Changes of the running transaction: operation, table, rows.
+        self._pending: list[tuple[str, str, DataFrame]] = []
+        self._recover()
 
     # ---- definitions
 
@@ -61,6 +68,7 @@ class Database:
             raise CatalogError("columns must have different names")
         self.tables[key] = Version(definition, (), 1)
         self.refresh(key)
+        self._publish()
 
     def version(self, name: str) -> Version:
         if name.lower() not in self.tables:
@@ -76,6 +84,7 @@ class Database:
             raise CatalogError(f"no table {name}")
         del self.tables[name.lower()]
         self.spark.catalog.dropTempView(name.lower())
+        self._publish()
 
     def alter(self, name: str, action: str, column: str, *, definition: ColumnDef | None = None, new_name: str | None = None) -> None:
         old = self.version(name)
@@ -110,6 +119,7 @@ class Database:
         for column in index["columns"]:
             old.definition.column(column)
         self.tables[table.lower()] = replace(old, definition=replace(old.definition, indexes=(*old.definition.indexes, index)))
+        self._publish()
 
     # ---- rows
 
@@ -132,11 +142,72 @@ class Database:
         part = self._write(name, df)
         self.tables[name.lower()] = replace(old, definition=definition, parts=(part,), number=old.number + 1)
         self.refresh(name)
+        self._publish()
+
+    def _discard(self, path: str) -> None:
+        """Remove a part that no version has."""
+        folder = self._path(path)
+        self._files(folder).delete(folder, True)
 
     def _change(self, op: str, name: str, rows: DataFrame) -> None:
-        self._seq += 1
-        out = rows.select(F.lit(self._seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(name.lower()).alias("table_name"), F.to_json(F.struct("*")).alias("data"))
-        out.write.mode("append").parquet(self.feed_path)
+        self._pending.append((op, name.lower(), rows))
+
+    def _publish(self) -> None:
+        """Unless a transaction runs: write the version map, then the changes since the last time."""
+        if self._saved is not None:
+            return
+        entries = {n: {"ddl": ddl(v.definition), "indexes": list(v.definition.indexes), "parts": list(v.parts), "number": v.number, "next_id": v.next_id} for n, v in self.tables.items()}
+        pending, self._pending = self._pending, []
+        seq, self._seq = self._seq, self._seq + len(pending)
+        self._store(json.dumps({"tables": entries, "seq": self._seq}))
+        for op, name, rows in pending:
+            seq += 1
+            out = rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(name).alias("table_name"), F.to_json(F.struct("*")).alias("data"))
+            out.write.mode("append").parquet(self.feed_path)
+
+    # ---- the version map, through the file system of the root
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _store(self, text: str) -> None:
+        """As the next numbered file: whole under another name first, then renamed; older ones go."""
+        folder = self._path(f"{self.root}/_versions")
+        files = self._files(folder)
+        self._map += 1
+        new = self._path(f"{self.root}/_versions/_{self._map:012d}")
+        out = files.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not files.rename(new, self._path(f"{self.root}/_versions/{self._map:012d}")):
+            raise CatalogError(f"another session has changed {self.name}")
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.lstrip("_").isdigit() and int(name.lstrip("_")) < self._map - 1:
+                files.delete(status.getPath(), False)
+
+    def _recover(self) -> None:
+        """Take the newest version map in the root, if there is one."""
+        from .plans.dialect import table_definition
+
+        self._map = 0
+        folder = self._path(f"{self.root}/_versions")
+        files = self._files(folder)
+        if not files.exists(folder):
+            return
+        stored = [n for n in (x.getPath().getName() for x in files.listStatus(folder)) if n.isdigit()]
+        if not stored:
+            return
+        self._map = int(max(stored))
+        found = json.loads(self.spark.read.text(f"{self.root}/_versions/{max(stored)}", wholetext=True).first()[0])
+        self._seq = found["seq"]
+        for name, entry in found["tables"].items():
+            definition = replace(table_definition(entry["ddl"]), indexes=tuple(entry["indexes"]))
+            self.tables[name] = Version(definition, tuple(entry["parts"]), entry["number"], entry["next_id"])
+            self.refresh(name)
 
     @property
     def feed_path(self) -> str:
@@ -157,35 +228,52 @@ class Database:
                 auto = c.name
             columns.append(value.cast(c.kind).alias(c.name))
         new = rows.select(*columns)
-        count = None
-        if auto:
-            # VALUES lists and appended frames alike: numbers follow the rows' own order within partitions
-            numbered = new.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-            new = self.spark.createDataFrame(numbered, T.StructType([*definition.schema, T.StructField("__n", T.LongType())]))
-            kind = definition.column(auto).kind
-            new = new.withColumn(auto, F.coalesce(F.col(auto), (F.col("__n") + old.next_id).cast(kind))).drop("__n")
-        staged = self.spark.read.schema(definition.schema).parquet(self._write(name, new))
-        self._check(definition, staged)
-        for key in [definition.key, *([c.name] for c in definition.columns if c.unique)]:
-            if key and ignore:
-                staged = staged.dropDuplicates(key).join(self.df(name).select(*key), key, "left_anti").select(*definition.schema.names)
-            elif key:
+        path = self._write(name, self._with_numbers(name, new, auto, old.next_id) if auto else new)
+        staged = self.spark.read.schema(definition.schema).parquet(path)
+        keys = [key for key in [definition.key, *([c.name] for c in definition.columns if c.unique)] if key]
+        try:
+            self._check(definition, staged)
+            for key in [] if ignore else keys:
                 twice = staged.groupBy(*key).count().filter("count > 1").select(*key)
                 if not twice.union(staged.join(self.df(name), key, "left_semi").select(*key)).isEmpty():
                     raise ConstraintError(f"duplicate key {', '.join(key)} in {name}")
-        part = self._write(name, staged) if ignore else staged.inputFiles() and self._folder(staged)
-        fresh = self.spark.read.schema(definition.schema).parquet(part) if part else staged
+        except ConstraintError:
+            self._discard(path)
+            raise
+        if ignore and keys:
+            for key in keys:
+                staged = staged.dropDuplicates(key).join(self.df(name).select(*key), key, "left_anti").select(*definition.schema.names)
+            first, path = path, self._write(name, staged)
+            self._discard(first)
+        fresh = self.spark.read.schema(definition.schema).parquet(path)
         count = fresh.count()
-        top = fresh.agg(F.max(auto)).first()[0] if auto and count else None
-        if count:
-            self.tables[name.lower()] = replace(old, parts=(*old.parts, part), number=old.number + 1, next_id=max(old.next_id, int(top) + 1 if top is not None else 1))
-            self._change("INSERT", name, fresh)
-            self.refresh(name)
+        if not count:
+            self._discard(path)
+            return 0
+        top = fresh.agg(F.max(auto)).first()[0] if auto else None
+        self.tables[name.lower()] = replace(old, parts=(*old.parts, path), number=old.number + 1, next_id=max(old.next_id, int(top) + 1 if top is not None else 1))
+        self._change("INSERT", name, fresh)
+        self.refresh(name)
+        self._publish()
         return count
 
-    @staticmethod
-    def _folder(df: DataFrame) -> str:
-        return df.inputFiles()[0].rsplit("/", 1)[0]
+    def _with_numbers(self, name: str, rows: DataFrame, auto: str, start: int) -> DataFrame:
+        """Missing values of the AUTO_INCREMENT column counted from ``start``, in the rows' order within partitions.
+
+        Rows are stored first with their partition and place, then each
+        partition starts where the ones before it end; the counts, one row a
+        partition, are all that is gathered.
+        """
+        place = F.monotonically_increasing_id()
+        part = F.shiftright(place, 33)
+        path = self._write(name, rows.withColumn("__part", part).withColumn("__at", place - F.shiftleft(part, 33)))
+        stored = self.spark.read.parquet(path)
+        counts = stored.groupBy("__part").count()
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+        kind = rows.schema[auto].dataType
+        numbered = stored.join(starts, "__part").withColumn(auto, F.coalesce(F.col(auto), (F.col("__start") + F.col("__at") + start).cast(kind)))
+        return numbered.select(*rows.columns)
 
     def _check(self, definition: TableDef, rows: DataFrame) -> None:
         broken = F.lit(False)
@@ -211,15 +299,20 @@ class Database:
         hit = df if condition is None else df.filter(condition)
         count = hit.count()
         if count:
-            new = R.update(df, changes, condition)
-            staged = self.spark.read.schema(old.definition.schema).parquet(self._write(name, new))
-            self._check(old.definition, staged)
-            for key in [old.definition.key, *([c.name] for c in old.definition.columns if c.unique)]:
-                if key and set(key) & set(changes) and not staged.groupBy(*key).count().filter("count > 1").isEmpty():
-                    raise ConstraintError(f"duplicate key {', '.join(key)} in {name}")
+            path = self._write(name, R.update(df, changes, condition))
+            staged = self.spark.read.schema(old.definition.schema).parquet(path)
+            try:
+                self._check(old.definition, staged)
+                for key in [old.definition.key, *([c.name] for c in old.definition.columns if c.unique)]:
+                    if key and set(key) & set(changes) and not staged.groupBy(*key).count().filter("count > 1").isEmpty():
+                        raise ConstraintError(f"duplicate key {', '.join(key)} in {name}")
+            except ConstraintError:
+                self._discard(path)
+                raise
             self._change("UPDATE", name, R.update(hit, changes, None))
-            self.tables[name.lower()] = replace(old, parts=(self._folder(staged),), number=old.number + 1)
+            self.tables[name.lower()] = replace(old, parts=(path,), number=old.number + 1)
             self.refresh(name)
+            self._publish()
         return count
 
     def delete(self, name: str, condition: Column | None) -> int:
@@ -243,6 +336,7 @@ class Database:
         if self._saved is None:
             raise CatalogError("no transaction is active")
         self._saved = None
+        self._publish()
 
     def rollback(self) -> None:
         if self._saved is None:
@@ -250,6 +344,7 @@ class Database:
         for name in set(self.tables) - set(self._saved):
             self.spark.catalog.dropTempView(name)
         self.tables, self._saved = self._saved, None
+        self._pending = []
         for name in self.tables:
             self.refresh(name)
 
@@ -283,6 +378,7 @@ class Database:
                 part = self._write(name, self.spark.read.schema(definition.schema).parquet(f"{path}/{name}"))
                 self.tables[name] = Version(definition, (part,), entry["version"])
                 self.refresh(name)
+        self._publish()
 
 
 def ddl(d: TableDef) -> str:

@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.temporal import interval_micros, sql_interval, time_bucket
 
-#: Buckets of one series that one task fills; longer series are cut and get what the earlier cuts end with.
+#: Buckets of one series that one task fills; longer series are cut and get what the cuts around hold.
 CUT = 1 << 16
 
 
@@ -60,33 +61,88 @@ def fill_gaps(sampled: DataFrame, ts: str, values: Sequence[str], micros: int, *
 def _neighbours(df: DataFrame, ts: str, values: list[str], keys: Sequence[str], micros: int) -> DataFrame:
     """Adds ``__next``, the time of the next row, and for each value its last known (t, v) up to a row and first known after it.
 
-    A series without keys is cut by time into tasks of ``CUT`` buckets; what the
-    cuts around hold is carried over on the table of cuts.
+    Every series is cut by time into tasks of ``CUT`` buckets; what the cuts
+    around hold is carried over on the table of cuts.
     """
     known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(v).alias("v"))) for v in values}
     df = df.select("*", *(c.alias(f"__k_{v}") for v, c in known.items()))
-    parts = list(keys)
-    if not keys:
-        df, parts = df.withColumn("__cut", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros * CUT)).cast("bigint")), ["__cut"]
-    w = Window.partitionBy(*parts).orderBy(ts)
+    df = df.withColumn("__cut", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros * CUT)).cast("bigint"))
+    w = Window.partitionBy(*keys, "__cut").orderBy(ts)
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     near = {"__next": F.lead(ts).over(w)}
     for v in values:
         near |= {f"__before_{v}": F.last(f"__k_{v}", True).over(up), f"__after_{v}": F.first(f"__k_{v}", True).over(down)}
     out = df.select("*", *(c.alias(n) for n, c in near.items()))
-    if not keys:
-        ends = df.groupBy("__cut").agg(F.min(ts).alias("c__next"), *(f(f"__k_{v}").alias(f"c__{n}_{v}") for v in values for f, n in ((F.max, "before"), (F.min, "after"))))
-        series = Window.orderBy("__cut")  # one row a cut
-        earlier, later = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(1, Window.unboundedFollowing)
-        carried = ends.select("__cut", F.first("c__next").over(later).alias("c__next"), *(F.last(f"c__before_{v}", True).over(earlier).alias(f"c__before_{v}") for v in values), *(F.first(f"c__after_{v}", True).over(later).alias(f"c__after_{v}") for v in values))
-        out = out.join(carried, "__cut").withColumns({n: F.coalesce(n, f"c{n}") for n in near})
-    return out
+    ends = df.groupBy(*keys, "__cut").agg(F.min(ts).alias("c__next"), *(f(f"__k_{v}").alias(f"c__{n}_{v}") for v in values for f, n in ((F.max, "before"), (F.min, "after"))))
+    series = Window.partitionBy(*keys).orderBy("__cut")  # one row a cut of a series
+    earlier, later = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(*(F.col(k).alias(f"c__key{i}") for i, k in enumerate(keys)), F.col("__cut").alias("c__cut"), F.first("c__next").over(later).alias("c__next"), *(F.last(f"c__before_{v}", True).over(earlier).alias(f"c__before_{v}") for v in values), *(F.first(f"c__after_{v}", True).over(later).alias(f"c__after_{v}") for v in values))
+    same = F.col("__cut") == F.col("c__cut")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"c__key{i}"))
+    return out.join(carried, same).withColumns({n: F.coalesce(n, f"c{n}") for n in near})
+
+
+# ---- windows without keys, in bounded tasks ---------------------------------
+
+#: Rows of one task of a window without keys, and cuts by which rows are numbered.
+BLOCK, CUTS = 1 << 16, 256
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "__row") -> DataFrame:
+    """Adds each row's number from 0 in ascending order; ties in any order.
+
+    Quantiles of the first column cut the table; rows are numbered within their
+    cut, and cuts start where the ones before them end. Columns without
+    quantiles (text) are cut by their first two characters.
+    """
+    kind = df.schema[order[0]].dataType
+    first = F.col(order[0])
+    if isinstance(kind, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
+        bounds = df.agg(F.percentile_approx(first, [k / CUTS for k in range(1, CUTS)], 4096)).first()[0] or []
+        cut = F.lit(0)
+        if bounds:
+            cut = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in sorted(set(bounds)))), lambda b: b <= first))
+        df = df.withColumn("__cut", F.when(first.isNull(), F.lit(-1)).otherwise(cut).cast("string"))
+    else:
+        df = df.withColumn("__cut", F.substring(first.cast("string"), 1, 2))
+    cuts = df.groupBy("__cut").agg(F.min(first).alias("__least"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)  # one row a cut
+    starts = cuts.select(F.col("__cut").alias("__own"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = df.withColumn("__n", F.row_number().over(Window.partitionBy("__cut").orderBy(*order)))
+    return within.join(starts, F.col("__cut").eqNullSafe(F.col("__own"))).withColumn(name, F.col("__start") + F.col("__n") - 1).drop("__cut", "__own", "__start", "__n")
+
+
+def _blocks(df: DataFrame, order: Sequence[str], before: int) -> tuple[DataFrame, Window]:
+    """Rows by blocks, each with ``before`` rows of the block before it (where ``__own`` is false), and a block's window."""
+    size = max(BLOCK, before)
+    rows = numbered(df, order)
+    own = F.floor(F.col("__row") / size)
+    last = F.pmod(F.col("__row"), F.lit(size)) >= size - before
+    to = F.when(last, F.array(own, own + 1)).otherwise(F.array(own))
+    out = rows.withColumn("__block", F.explode(to)).withColumn("__own", F.col("__block") == own)
+    return out, Window.partitionBy("__block").orderBy("__row")
+
+
+def _only_own(df: DataFrame) -> DataFrame:
+    return df.filter("__own").drop("__own", "__block", "__row")
+
+
+def _carried(df: DataFrame, value: Column) -> DataFrame:
+    """Adds ``__before``, the sum of ``value`` over all earlier blocks."""
+    sums = df.groupBy("__block").agg(F.sum(value).alias("__sum"))
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    return df.join(sums.select("__block", F.sum("__sum").over(earlier).alias("__before")), "__block")
 
 
 def moving(df: DataFrame, value: str, n: int, order: Sequence[str], *, keys: Sequence[str] = (), how: Callable[[Column], Column] = F.avg, name: str | None = None) -> DataFrame:
     """Aggregate of each row and the n - 1 before it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    return df.withColumn(name or f"moving_{value}", how(F.col(value)).over(w))
+    name = name or f"moving_{value}"
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if not keys:
+        df, w = _blocks(df, order, n - 1)
+    out = df.withColumn(name, how(F.col(value)).over(w.rowsBetween(1 - n, 0)))
+    return out if keys else _only_own(out)
 
 
 def between(df: DataFrame, ts: str, start, end) -> DataFrame:
@@ -178,13 +234,21 @@ def with_average(rolled: DataFrame) -> DataFrame:
 
 def delta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "delta") -> DataFrame:
     """Difference to the row before; the first row keeps its value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0).cast(df.schema[value].dataType)))
+    kind, w = df.schema[value].dataType, Window.partitionBy(*keys).orderBy(*order)
+    if not keys:
+        df, w = _blocks(df, order, 1)
+    out = df.withColumn(name, F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0).cast(kind)))
+    return out if keys else _only_own(out)
 
 
 def undelta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(value).over(w))
+    """Running sums, which undo ``delta``."""
+    if keys:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    df, w = _blocks(df, order, 0)
+    own = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(F.col("__before").isNull(), F.col("__run")).otherwise(F.col("__before") + F.coalesce("__run", F.lit(0)))
+    return _only_own(_carried(df.withColumn("__run", own), F.col(value)).withColumn(name, total).drop("__run", "__before"))
 
 
 def delta_of_delta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "delta2") -> DataFrame:
@@ -194,8 +258,15 @@ def delta_of_delta(df: DataFrame, value: str, order: Sequence[str], keys: Sequen
 def run_lengths(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, run, value, length, first): runs of equal neighbours, first by order."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    if not keys:
+        df, w = _blocks(df, order, 1)
     new = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("bigint")
-    marked = df.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if keys:
+        marked = df.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        flagged = df.withColumn("__new", new).filter("__own")
+        running = flagged.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        marked = _carried(running, F.col("__new")).withColumn("run", F.col("__run") + F.coalesce("__before", F.lit(0)))
     return marked.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("first"))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import relational as R
@@ -83,3 +84,36 @@ def test_quantizers(spark):
     assert [r.id for r in index.search(query, 5, probes=4, ties=("id",)).collect()] == exact
     back = vectors.select(F.transform(F.arrays_zip("v", VS.scalar_restore(VS.scalar_quantize(F.col("v"), -1, 1), -1, 1).alias("w")), lambda p: F.abs(p["v"] - p["w"])).alias("d"))
     assert back.filter(F.array_max("d") > 0.005).isEmpty()
+
+
+def test_windows_without_keys_in_blocks(spark, monkeypatch):
+    """Numbers, moving averages, deltas, sums and runs over many small blocks equal those of one window."""
+    monkeypatch.setattr(TS, "BLOCK", 16)
+    monkeypatch.setattr(TS, "CUTS", 8)
+    rows = [(k, None if k % 11 == 0 else k * k % 97, f"n{k % 300:03d}", k // 5 % 3) for k in range(300)] + [(None, 5, "a", 1)]
+    df = spark.createDataFrame(rows, "id int, x int, name string, v int").repartition(7)
+    whole = Window.partitionBy().orderBy("id")
+    for order in ("id", "name"):
+        got = [r["__row"] for r in TS.numbered(df, [order, "id"]).orderBy(order, "id").collect()]
+        assert got == list(range(301))
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    for n in (1, 4, 40):
+        assert same(TS.moving(df, "x", n, ["id"], name="m"), df.withColumn("m", F.avg("x").over(whole.rowsBetween(1 - n, 0))))
+    assert same(TS.delta(df, "x", ["id"]), df.withColumn("delta", F.col("x") - F.coalesce(F.lag("x").over(whole), F.lit(0))))
+    assert same(TS.undelta(df, "x", ["id"], name="s"), df.withColumn("s", F.sum("x").over(whole.rowsBetween(Window.unboundedPreceding, 0))))
+    runs = TS.run_lengths(df, "v", ["id"]).orderBy("run").collect()
+    assert [r["length"] for r in runs] == [1] + [5] * 60 and [r["run"] for r in runs] == list(range(1, 62))
+
+
+def test_keyed_series_are_cut_too(spark, monkeypatch):
+    """Gaps of keyed series, across cuts that hold nothing, and for a null key."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(k, at(m), v) for k in ("a", None) for m, v in ((0, 1.0), (1, None), (2, 3.0), (40, None), (41, 10.0))] + [("b", at(7), 2.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    want = None
+    for cut in (1 << 16, 4):
+        monkeypatch.setattr(TS, "CUT", cut)
+        out = {fill: sorted(map(tuple, TS.fill_gaps(df, "ts", ["v"], 60_000_000, keys=["k"], fill=fill).collect()), key=repr) for fill in ("prev", "next", "linear", "null")}
+        assert want is None or out == want
+        want = out
+    assert len(want["prev"]) == 42 * 2 + 1 and ("a", at(30), 3.0) in want["prev"] and (None, at(30), 10.0) in want["next"]
