@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,15 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 def null_free(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The text column with null as the empty string."""
     return df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def row_salted(df: DataFrame, *columns) -> DataFrame:
+    """``columns`` and ``salt``, a long that differs between rows, equal ones too, and is the same when a task runs again."""
+    try:
+        # the place of the row in its file, where the table comes straight from Parquet files
+        place = df.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:
+        place = None
+    if place is not None and "_metadata" not in df.columns:
+        return df.select(*columns, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("salt"))
+    return materialize(df.select(*columns, F.xxhash64(F.monotonically_increasing_id()).alias("salt")), "salted")

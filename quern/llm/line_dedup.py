@@ -1,23 +1,24 @@
 """Removal of repeated multi-line passages, in DataFrame expressions only.
 
-Pieces of lines are counted over the corpus by hash; the first occurrence (by
-doc_id, then place) stays. The others are removed after their bytes were
-compared with it. Pieces are every two neighbouring lines, which finds each
-repeated passage, or content-defined chunks of two or more lines: a rolling
-hash over the hashes of ``span`` neighbouring lines ends a chunk wherever it is
-divisible by ``average``; so borders depend on nearby lines alone, but passages
-that enclose no whole chunk are not found.
+Texts are cut into content-defined chunks: a rolling hash over the hashes of
+``span`` neighbouring lines ends a chunk wherever it is divisible by
+``average``, so borders depend on nearby lines alone and survive shifts. Chunks
+of two or more lines are counted over the corpus by hash; the first occurrence
+(by doc_id, then place) stays, the others are repetitions.
+
+A passage that encloses no whole chunk, or reaches beyond one, shows in the
+lines that no repeated chunk covers: there every two neighbouring lines are
+looked up in the same way, so that each repeated passage of two or more lines
+is found at any place and in its full length.
 
 Only hashes are counted and joined first. Then the texts of first occurrences
-travel to the documents that repeat them, and the comparison happens there.
-Documents without a part in either are told by a bit map of fixed size before
+travel to the documents that repeat them, and bytes are compared there before
+anything goes. Documents without a part in either are told by a bit map before
 any shuffle, and stay where they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +54,13 @@ def _chunks(base: DataFrame, span: int, average: int) -> DataFrame:
 
 
 def _windows(base: DataFrame) -> DataFrame:
-    """Adds ``lines`` and ``pieces``: array of (at, n, key) of every two neighbouring lines."""
+    """Adds ``lines`` and ``pieces``: array of (at, n, key) of every two neighbouring lines outside the pieces in ``covered``."""
     lines = base.withColumn("lines", F.split(F.col("text"), "\n"))
     hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    pair = F.transform(F.slice("hashes", 2, F.size("hashes")), lambda h, i: F.struct(i.alias("at"), F.lit(2).alias("n"), F.xxhash64(F.get(F.col("hashes"), i), h).alias("key")))
+    places = F.when(F.size("lines") > 1, F.sequence(F.lit(0), F.size("lines") - 2)).otherwise(F.array().cast("array<int>"))
+    inner = F.flatten(F.transform("covered", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 2)))
+    places = F.when(F.col("covered").isNull(), places).otherwise(F.array_except(places, inner))
+    pair = F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(2).alias("n"), F.xxhash64(F.get(F.col("hashes"), i), F.get(F.col("hashes"), i + 1)).alias("key")))
     return hashed.withColumn("pieces", pair).drop("hashes")
 
 
@@ -64,56 +68,61 @@ def _text(at: Column, n: Column) -> Column:
     return F.array_join(F.slice("lines", at + 1, n), "\n")
 
 
-def remove_repeated_chunks(docs: DataFrame, *, span: int = 3, average: int = 4) -> DataFrame:
-    """(src, doc_id, n_lines, n_removed, kept_text) of every row of ``docs``; src holds the row itself.
+def _repetitions(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, first) of repeated pieces, and (key, row_key, at, n) of their occurrences besides the first."""
+    keyed = cut.select("doc_id", "row_key", F.explode("pieces").alias("p")).select("doc_id", "row_key", "p.at", "p.n", "p.key")
+    occurrences = materialize(keyed, "pieces")
+    place = F.struct("doc_id", "row_key", "at", "n")
+    counted = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = materialize(counted.filter("first <> last").select("key", "first"), "repeated")
+    # an occurrence that overlaps the first one within a text is not a repetition of it
+    again = occurrences.join(repeated, "key").filter((F.col("row_key") != F.col("first.row_key")) | (F.col("at") >= F.col("first.at") + F.col("n"))).select("key", "row_key", "at", "n")
+    return repeated, materialize(again, "again")
 
-    Lines end at line feeds; a null text is the empty text, which has one empty
-    line. n_removed: lines removed. kept_text: the other lines, joined by line
-    feeds. A chunk repeated within one text counts as repeated. Rows equal in
-    doc_id and text are one text to this operator: neither is removed for the
-    other, and they get equal results. A null doc_id sorts first. Columns of
-    any name may be present.
-    """
-    return _remove(docs, lambda base: _chunks(base, span, average))
 
+def _with(base: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+    """Adds the list of each row's key, null for rows without; only rows that may have one are shuffled."""
+    may = BitMap(lists, "row_key").may_hold("row_key")
+    apart = base.filter(~may).withColumn(name, F.lit(None).cast(lists.schema[name].dataType))
+    return apart.unionByName(base.filter(may).join(lists, "row_key", "left").select(*base.columns, name))
 
-def remove_repeated_runs(docs: DataFrame) -> DataFrame:
-    """Like remove_repeated_chunks, for every passage of two or more lines that occurred before.
 
-    Every line is a border here: all pairs of neighbouring lines are looked up,
-    so a repeated passage is found at any place and in its full length. Of its
-    first occurrence go only those lines that themselves repeat a still earlier
-    passage; one equal line of each removed line stays. An occurrence that
-    overlaps the first one within a text is not a repetition of it.
-    """
-    return _remove(docs, _windows)
+def remove_repeated_lines(docs: DataFrame, *, span: int = 3, average: int = 4, chunks_only: bool = False) -> DataFrame:
+    """(src, doc_id, n_lines, n_removed, kept_text) of every row of ``docs``; src holds the row itself.
 
+    Every passage of two or more lines that occurred before goes; with
+    ``chunks_only`` just those that are a whole chunk. Of a first occurrence go
+    only lines that themselves repeat a still earlier passage, so one equal line
+    of each removed line stays.
 
-def _remove(docs: DataFrame, cutter: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    Lines end at line feeds; a null text is the empty text, which has one empty
+    line. n_removed: lines removed. kept_text: the other lines, joined by line
+    feeds. A passage repeated within one text counts as repeated, unless the two
+    overlap. Rows equal in doc_id and text are one text to this operator:
+    neither is removed for the other, and they get equal results. A null doc_id
+    sorts first. Very long texts are one row each. Columns of any name may be
+    present, an empty table gives no rows.
+    """
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("src"))
     base = base.select("src", F.col("src.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("src.text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    keyed = cutter(base).select("doc_id", "row_key", F.explode("pieces").alias("p")).select("doc_id", "row_key", "p.at", "p.n", "p.key")
-    occurrences = materialize(keyed, "chunks")
-    place = F.struct("doc_id", "row_key", "at", "n")
-    counted = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = materialize(counted.filter("first <> last").select("key", "first"), "repeated")
+    plain = base.select("doc_id", "row_key", "text")
+    repeated, again = _repetitions(_chunks(plain, span, average))
+    if not chunks_only:
+        covered = materialize(again.groupBy("row_key").agg(F.collect_set(F.struct("at", "n")).alias("covered")), "covered")
+        more, again_too = _repetitions(_windows(_with(plain, covered, "covered")))
+        repeated, again = repeated.unionByName(more), again.unionByName(again_too)
     # texts of the first occurrences, cut where the documents lie
     wanted = repeated.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_set(F.struct("key", F.col("first.at").alias("at"), F.col("first.n").alias("n"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    near = base.select("row_key", "text").filter(BitMap(wanted, "row_key").may_hold("row_key"))
+    near = plain.select("row_key", "text").filter(BitMap(wanted, "row_key").may_hold("row_key"))
     sources = near.join(wanted, "row_key").withColumn("lines", F.split("text", "\n"))
     sources = sources.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), _text(w["at"], w["n"]).alias("first_text")))).alias("w"))
     texts = materialize(sources.select("w.key", "w.first_text").dropDuplicates(["key"]), "firsts")
-    again = occurrences.join(repeated, "key").filter((F.col("row_key") != F.col("first.row_key")) | (F.col("at") >= F.col("first.at") + F.col("n"))).select("key", "row_key", "at", "n")
-    again = materialize(again, "again")
     marks = again.join(texts, "key").select("row_key", F.struct("at", "n", "first_text").alias("mark"))
     marks = materialize(marks.groupBy("row_key").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "marks")
-    marked = BitMap(marks, "row_key").may_hold("row_key")
-    apart = base.filter(~marked).withColumn("marks", F.lit(None).cast(MARKS))
-    out = apart.unionByName(base.filter(marked).join(marks, "row_key", "left")).withColumn("lines", F.split("text", "\n"))
-    gone = F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: _text(m["at"], m["n"]) == m["first_text"])
-    out = out.withColumn("gone", gone)
+    out = _with(base.drop("text"), marks, "marks").withColumn("text", F.coalesce(F.col("src.text").cast("string"), F.lit(""))).withColumn("lines", F.split("text", "\n"))
+    out = out.withColumn("gone", F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: _text(m["at"], m["n"]) == m["first_text"]))
     # lines between removed pieces, which may overlap: before the k-th one, and after the last
     end = lambda k: F.coalesce(F.get(F.col("gone"), k)["at"], F.size("lines"))
     begin = lambda k: F.coalesce(F.get(F.col("gone"), k - 1)["at"] + F.get(F.col("gone"), k - 1)["n"], F.lit(0))

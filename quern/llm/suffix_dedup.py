@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import null_free, prepare, text_bytes
+from .common import null_free, prepare, row_salted, text_bytes
 from .substring_dedup import SPAN, _text, layout
 
 PLACE_BITS = np.uint64(24)
@@ -436,8 +436,8 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = 200, gram: int = 48,
     spark = docs.sparkSession
     prepare(spark)
     groups, buckets = layout(text_bytes(docs))
-    base = null_free(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    grouped = base.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int"))
+    base = null_free(row_salted(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
+    grouped = base.withColumn("grp", F.pmod("salt", F.lit(groups)).cast("int")).drop("salt")
     grams = grouped.groupBy("grp").applyInArrow(_send_grams(length, gram, buckets), SENT_SQL)
     flags = grams.groupBy("bucket").applyInArrow(_count(GRAMS, hot_groups), ANSWER_SQL)
     pairs = grouped.groupBy("grp").cogroup(flags.groupBy("grp"))

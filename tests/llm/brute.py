@@ -167,3 +167,19 @@ def article_text(page: str) -> str:
     reader.feed(page)
     reader.close()
     return " ".join(" ".join(b.split()) for b in reader.blocks if b.split())
+
+
+def line_passages(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, n_lines, n_removed, kept_text), by comparing all passages of two or more lines; ids must be distinct."""
+    seen: dict[tuple, tuple] = {}
+    out = []
+    for i, t in sorted(rows):
+        lines = (t or "").split("\n")
+        gone = set()
+        for size in range(2, len(lines) + 1):
+            for k in range(len(lines) - size + 1):
+                first = seen.setdefault(tuple(lines[k : k + size]), (i, k))
+                if first[0] != i or k >= first[1] + size:
+                    gone.update(range(k, k + size))
+        out.append((i, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t or ""))
+    return out

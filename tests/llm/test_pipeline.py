@@ -22,7 +22,7 @@ def test_stages(spark):
             break
         assert docs.columns == columns and set(after) <= set(before)
         if name == "line_dedup":
-            want = {i: t for i, _, _, t in brute.line_chunks(pairs)}
+            want = {i: t for i, _, _, t in brute.line_passages(pairs)}
             assert {i: r.text for i, r in after.items()} == want and all(r.n_chars == len(r.text) for r in after.values())
         elif name == "near_dedup":
             assert set(after) == {i for i, _, _, kept in brute.near(pairs, 80, 5) if kept}
