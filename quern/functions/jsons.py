@@ -23,6 +23,21 @@ def extract(doc: Column, path: str, kind: str | None = None) -> Column:
     return out.try_cast(kind) if kind else out
 
 
+def extract_text(doc: Column, path: str) -> Column:
+    """A string's text; NULL for anything else."""
+    return F.when(type_of(doc, path) == "string", F.get_json_object(doc, path))
+
+
+def extract_int(doc: Column, path: str) -> Column:
+    """A whole number; NULL for anything else."""
+    return F.when(type_of(doc, path) == "number", F.get_json_object(doc, path).try_cast("bigint"))
+
+
+def extract_float(doc: Column, path: str) -> Column:
+    """A number as a double; NULL for anything else."""
+    return F.when(type_of(doc, path) == "number", F.get_json_object(doc, path).try_cast("double"))
+
+
 def type_of(doc: Column, path: str = "$") -> Column:
     """string, number, boolean, null, object or array; NULL where nothing stands."""
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from collections import OrderedDict
 from collections.abc import Callable
 
 import numpy as np
@@ -13,21 +15,69 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..session import ship
 
-#: What a worker has loaded, by model name and path.
+#: What a worker has loaded, and its cached results, by model name and path.
 _LOADED: dict[tuple[str, str], Callable] = {}
+_CACHES: dict[tuple[str, str], InferenceCache] = {}
 
 
 def hash_embedding(texts: pd.Series, dim: int = 64) -> list[np.ndarray]:
-    """Deterministic unit vectors: signed counts of hashed words."""
-    out = []
-    for text in texts:
-        v = np.zeros(dim, np.float32)
-        for word in str(text or "").lower().split():
-            digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
-            v[int.from_bytes(digest[:4], "little") % dim] += 1 if digest[4] & 1 else -1
-        size = float(np.linalg.norm(v))
-        out.append(v / size if size else v)
-    return out
+    """Deterministic unit vectors: signed counts of hashed words. Each distinct word of a batch is hashed once."""
+    words = pd.Series(texts).reset_index(drop=True).fillna("").astype(str).str.lower().str.split().explode().dropna()
+    code, distinct = pd.factorize(words)
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest() for w in distinct), np.uint8).reshape(-1, 16)
+    slot = np.ascontiguousarray(digests[:, :4]).view("<u4").ravel() % dim if len(distinct) else np.zeros(0, np.int64)
+    sign = np.where(digests[:, 8] & 1, 1, -1) if len(distinct) else slot
+    out = np.zeros((len(texts), dim), np.float32)
+    np.add.at(out, (words.index.to_numpy(), slot[code]), sign[code])
+    size = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    return list((out / np.where(size > 0, size, 1)).astype(np.float32))
+
+
+class InferenceCache:
+    """Results of a worker's latest calls: the least recently used go beyond ``entries`` or ``most_bytes``, and all after ``ttl`` seconds."""
+
+    def __init__(self, entries: int = 10_000, most_bytes: int = 64 << 20, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.entries, self.most_bytes, self.ttl, self.clock = entries, most_bytes, ttl, clock
+        self.held: OrderedDict[tuple, tuple[float, int, object]] = OrderedDict()
+        self.bytes = self.hits = self.misses = 0
+
+    def get(self, key: tuple):
+        found = self.held.get(key)
+        if found is None or self.clock() - found[0] > self.ttl:
+            if found is not None:
+                self._drop(key)
+            self.misses += 1
+            return None
+        self.held.move_to_end(key)
+        self.hits += 1
+        return found[2]
+
+    def put(self, key: tuple, value) -> None:
+        if key in self.held:
+            self._drop(key)
+        size = sum(len(x) if isinstance(x, str | bytes) else 8 for x in key) + getattr(value, "nbytes", 64)
+        self.held[key] = (self.clock(), size, value)
+        self.bytes += size
+        while self.held and (len(self.held) > self.entries or self.bytes > self.most_bytes):
+            self._drop(next(iter(self.held)))
+
+    def _drop(self, key: tuple) -> None:
+        self.bytes -= self.held.pop(key)[1]
+
+    def call(self, function: Callable, columns: tuple[pd.Series, ...]) -> list:
+        """The function's results, called only for rows that are not held, each different one once."""
+        keys = list(zip(*(c.tolist() for c in columns), strict=True))
+        out = {key: found for key in dict.fromkeys(keys) if (found := self.get(key)) is not None}
+        first: dict[tuple, int] = {}
+        for i, key in enumerate(keys):
+            if key not in out:
+                first.setdefault(key, i)
+        if first:
+            at = list(first.values())
+            for key, value in zip(first, function(*(c.iloc[at].reset_index(drop=True) for c in columns)), strict=True):
+                out[key] = value
+                self.put(key, value)
+        return [out[key] for key in keys]
 
 
 def onnx_loader(path: str) -> Callable:
@@ -46,7 +96,8 @@ class ModelRegistry:
         self.spark = ship(spark)
         self.models: dict[str, dict] = {}
 
-    def create(self, name: str, path: str, arguments: list[tuple[str, str]], returns: str, *, loader: Callable[[str], Callable] | None = None, if_not_exists: bool = False) -> None:
+    def create(self, name: str, path: str, arguments: list[tuple[str, str]], returns: str, *, loader: Callable[[str], Callable] | None = None, if_not_exists: bool = False, cache: dict | None = None) -> None:
+        """Register a model as a SQL function; ``cache`` holds the bounds of an InferenceCache, for models that always answer alike."""
         if name in self.models:
             if if_not_exists:
                 return
@@ -58,6 +109,9 @@ class ModelRegistry:
             key = (name, path)
             if key not in _LOADED:
                 _LOADED[key] = load(path)
+            if cache is not None:
+                found = _CACHES.setdefault(key, InferenceCache(**cache)).call(_LOADED[key], columns)
+                return pd.Series(found, dtype="object" if isinstance(kind, ArrayType) else None)
             return pd.Series(_LOADED[key](*columns), dtype="object" if isinstance(kind, ArrayType) else None)
 
         call.__annotations__ = {"columns": pd.Series, "return": pd.Series}

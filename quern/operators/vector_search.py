@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +33,6 @@ def _reach(near: DataFrame, k: int) -> Column:
     return near.agg(F.when(F.count("distance") == k, F.max("distance") * (1 + 1e-9) + 1e-9).alias("reach")).scalar()
 
 
-class IvfIndex:
-    """Inverted lists by k-means; a search ranks the rows of the nearest lists exactly.
-
-    Rows of other lists are left out only where the triangle inequality, by
-    their distances from their own centre, proves them farther than what the
-    nearest lists gave. So the result is that of ``knn``.
-    """
-
-    def __init__(self, df: DataFrame, column: str, *, lists: int = 16, sample: int = 100_000, seed: int = 1):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        self.column = column
-        rows = df.withColumn("__v", array_to_vector(F.col(column).cast("array<double>")))
-        # the fit reads a bounded sample; every row is assigned
-        model = KMeans(k=lists, seed=seed, featuresCol="__v", predictionCol="list_id").fit(rows.limit(sample))
-        self.centers = [c.tolist() for c in model.clusterCenters()]
-        own = F.element_at(F.array(*(V.literal(c) for c in self.centers)), F.col("list_id") + 1)
-        self.rows = model.transform(rows).drop("__v").withColumn("__from_center", V.l2(F.col(column), own))
-
-    def search(self, query: list[float], k: int, *, probes: int = 4, ties: tuple[str, ...] = ()) -> DataFrame:
-        far = [math.dist(c, query) for c in self.centers]
-        near = F.col("list_id").isin(sorted(range(len(far)), key=far.__getitem__)[:probes])
-        first = knn(self.rows, self.column, query, k, where=near, ties=ties)
-        least = F.abs(F.element_at(F.array(*(F.lit(x) for x in far)), F.col("list_id") + 1) - F.col("__from_center"))
-        within_reach = F.coalesce(least <= _reach(first, k), F.lit(True))
-        return knn(self.rows, self.column, query, k, where=near | within_reach, ties=ties).drop("__from_center")
-
-
 def binary_code(v: Column) -> Column:
     """Signs of up to 64 components as bits of a bigint."""
     bits = F.transform(v.cast("array<double>"), lambda x, i: F.when(x > 0, F.expr("shiftleft(1L, 0)")).otherwise(F.lit(0).cast("bigint")))

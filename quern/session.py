@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -32,7 +33,8 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    A local one is made only where the session names none, as in tests.
+    Only a local master, whose executors are the driver, gets one made where the
+    session names none, as in tests.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -40,11 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="quern-shared-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+#: Applications whose folder is already marked to go.
+_MARKED: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it is deleted when the driver ends."""
+    name = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/quern-{name}"
+    if path not in _MARKED:
+        _MARKED.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
 def create(app: str = "quern", **settings: str) -> SparkSession:
     """A session with the engine's settings; the master comes from the environment or spark-submit."""
     builder = SparkSession.builder.appName(app)

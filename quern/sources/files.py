@@ -78,3 +78,45 @@ def insert_statements(df: DataFrame, table: str) -> DataFrame:
 
 def export(df: DataFrame, table: str, path: str) -> None:
     insert_statements(df, table).write.mode("overwrite").text(path)
+
+
+# ---- retention: whole folders go -----------------------------------------------
+
+
+def time_partitions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the time partitions, oldest first; one listing of the folder, no data is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(n.removeprefix("time_part=") for n in names if n.startswith("time_part="))
+
+
+def _drop_partitions(spark: SparkSession, path: str, names: list[str]) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/time_part={name}"), True)
+    return names
+
+
+def drop_expired(spark: SparkSession, path: str, keep: str, now: str, unit: str = "day") -> list[str]:
+    """Drop the partitions that end at or before ``now - keep``; their names."""
+    from datetime import datetime, timedelta
+
+    from ..functions.temporal import interval_micros
+
+    bound = datetime.fromisoformat(now) - timedelta(microseconds=interval_micros(keep))
+
+    def end(name: str) -> datetime:
+        parts = [int(x) for x in name.split("-")]
+        if unit == "month":
+            return datetime(parts[0] + parts[1] // 12, parts[1] % 12 + 1, 1)
+        return datetime(*parts) + (timedelta(hours=1) if unit == "hour" else timedelta(days=1))
+
+    return _drop_partitions(spark, path, [n for n in time_partitions(spark, path) if end(n) <= bound])
+
+
+def evict_oldest(spark: SparkSession, path: str, most: int) -> list[str]:
+    """Drop the oldest partitions beyond ``most``; their names."""
+    names = time_partitions(spark, path)
+    return _drop_partitions(spark, path, names[: max(0, len(names) - most)])

@@ -5,7 +5,7 @@ from pathlib import Path
 import oracle
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, statements  # noqa: F401  each registers its queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import relational as R
 from quern.operators import timeseries as TS
+from quern.operators import vector_index as VI
 from quern.operators import vector_search as VS
 from quern.sources import files
 
@@ -80,7 +81,7 @@ def test_quantizers(spark):
     query = [0.5, -0.5] * 4
     exact = [r.id for r in VS.knn(vectors, "v", query, 5, ties=("id",)).collect()]
     assert [r.id for r in VS.binary_knn(vectors, "v", query, 5, shortlist=150, ties=("id",)).collect()] == exact
-    index = VS.IvfIndex(vectors, "v", lists=4)
+    index = VI.IvfIndex(vectors, "v", lists=4)
     assert [r.id for r in index.search(query, 5, probes=4, ties=("id",)).collect()] == exact
     back = vectors.select(F.transform(F.arrays_zip("v", VS.scalar_restore(VS.scalar_quantize(F.col("v"), -1, 1), -1, 1).alias("w")), lambda p: F.abs(p["v"] - p["w"])).alias("d"))
     assert back.filter(F.array_max("d") > 0.005).isEmpty()

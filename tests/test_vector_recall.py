@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from quern.operators import vector_index as VI
 from quern.operators import vector_search as VS
 
 SF = "/root/testdata/sf0.01"
@@ -29,5 +30,5 @@ def test_binary(embeddings, exact):
 
 
 def test_ivf(embeddings, exact):
-    index = VS.IvfIndex(embeddings, "embedding", lists=8)
+    index = VI.IvfIndex(embeddings, "embedding", lists=8)
     assert recall(lambda q: index.search(q, 10, probes=4, ties=("vec_id",)), exact) == 1
