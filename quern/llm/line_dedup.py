@@ -28,6 +28,11 @@ from .common import materialize
 MARKS = "array<struct<at:int,n:int,first_text:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, also where the body's own lambdas read it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rotate(x: Column, by: int) -> Column:
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
@@ -40,37 +45,49 @@ def _rolling(hashes: Column, i: Column, span: int) -> Column:
     return out
 
 
-def _chunks(base: DataFrame, span: int, average: int) -> DataFrame:
-    """Adds ``lines`` and ``pieces``: array of (at, n, key), first line, number of lines and hash of chunks of several lines."""
-    lines = base.withColumn("lines", F.split(F.col("text"), "\n"))
-    hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    last = F.size("lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.xxhash64(_rolling(F.col("hashes"), i, span)), F.lit(average)) == 0))
-    cut = hashed.withColumn("ends", ends)
-    chunk = F.transform("ends", lambda e, k: F.struct(F.coalesce(F.get(F.col("ends"), k - 1) + 1, F.lit(0)).alias("at"), (e - F.coalesce(F.get(F.col("ends"), k - 1), F.lit(-1))).alias("n")))
-    several = F.filter(chunk, lambda c: c["n"] > 1)
-    keyed = F.transform(several, lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(_text(c["at"], c["n"]), c["n"]).alias("key")))
-    return cut.withColumn("pieces", keyed).drop("ends", "hashes")
+def _lines(text: Column, body) -> Column:
+    return let(F.split(text, "\n"), body)
+
+
+def _hashes(lines: Column, body) -> Column:
+    return let(F.transform(lines, lambda x: F.xxhash64(x)), body)
+
+
+def _text(lines: Column, at: Column, n: Column) -> Column:
+    return F.array_join(F.slice(lines, at + 1, n), "\n")
+
+
+def _chunks(text: Column, span: int, average: int) -> Column:
+    """Array of (at, n, key): first line, number of lines and hash of chunks of several lines."""
 
+    def ends(hashes: Column) -> Column:
+        last = F.size(hashes) - 1
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.xxhash64(_rolling(hashes, i, span)), F.lit(average)) == 0))
 
-def _windows(base: DataFrame) -> DataFrame:
-    """Adds ``lines`` and ``pieces``: array of (at, n, key) of every two neighbouring lines outside the pieces in ``covered``."""
-    lines = base.withColumn("lines", F.split(F.col("text"), "\n"))
-    hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    places = F.when(F.size("lines") > 1, F.sequence(F.lit(0), F.size("lines") - 2)).otherwise(F.array().cast("array<int>"))
-    inner = F.flatten(F.transform("covered", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 2)))
-    places = F.when(F.col("covered").isNull(), places).otherwise(F.array_except(places, inner))
-    pair = F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(2).alias("n"), F.xxhash64(F.get(F.col("hashes"), i), F.get(F.col("hashes"), i + 1)).alias("key")))
-    return hashed.withColumn("pieces", pair).drop("hashes")
+    def keyed(lines: Column, cuts: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(cuts, k - 1), F.lit(-1))
+        chunk = F.transform(cuts, lambda e, k: F.struct((before(k) + 1).alias("at"), (e - before(k)).alias("n")))
+        several = F.filter(chunk, lambda c: c["n"] > 1)
+        return F.transform(several, lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.xxhash64(_text(lines, c["at"], c["n"]), c["n"]).alias("key")))
 
+    return _lines(text, lambda lines: _hashes(lines, lambda hashes: let(ends(hashes), lambda cuts: keyed(lines, cuts))))
 
-def _text(at: Column, n: Column) -> Column:
-    return F.array_join(F.slice("lines", at + 1, n), "\n")
 
+def _windows(text: Column, covered: Column) -> Column:
+    """Array of (at, n, key) of every two neighbouring lines that do not both lie in one of the ``covered`` pieces."""
 
-def _repetitions(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def pairs(hashes: Column) -> Column:
+        places = F.when(F.size(hashes) > 1, F.sequence(F.lit(0), F.size(hashes) - 2)).otherwise(F.array().cast("array<int>"))
+        inner = F.flatten(F.transform(covered, lambda c: F.sequence(c["at"], c["at"] + c["n"] - 2)))
+        places = F.when(covered.isNull(), places).otherwise(F.array_except(places, inner))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(2).alias("n"), F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)).alias("key")))
+
+    return _lines(text, lambda lines: _hashes(lines, pairs))
+
+
+def _repetitions(base: DataFrame, pieces: Column) -> tuple[DataFrame, DataFrame]:
     """(key, first) of repeated pieces, and (key, row_key, at, n) of their occurrences besides the first."""
-    keyed = cut.select("doc_id", "row_key", F.explode("pieces").alias("p")).select("doc_id", "row_key", "p.at", "p.n", "p.key")
+    keyed = base.select("doc_id", "row_key", F.explode(pieces).alias("p")).select("doc_id", "row_key", "p.at", "p.n", "p.key")
     occurrences = materialize(keyed, "pieces")
     place = F.struct("doc_id", "row_key", "at", "n")
     counted = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -107,27 +124,36 @@ def remove_repeated_lines(docs: DataFrame, *, span: int = 3, average: int = 4, c
     base = base.select("src", F.col("src.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("src.text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
     plain = base.select("doc_id", "row_key", "text")
-    repeated, again = _repetitions(_chunks(plain, span, average))
+    repeated, again = _repetitions(plain, _chunks(F.col("text"), span, average))
     if not chunks_only:
         covered = materialize(again.groupBy("row_key").agg(F.collect_set(F.struct("at", "n")).alias("covered")), "covered")
-        more, again_too = _repetitions(_windows(_with(plain, covered, "covered")))
+        more, again_too = _repetitions(_with(plain, covered, "covered"), _windows(F.col("text"), F.col("covered")))
         repeated, again = repeated.unionByName(more), again.unionByName(again_too)
     # texts of the first occurrences, cut where the documents lie
     wanted = repeated.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_set(F.struct("key", F.col("first.at").alias("at"), F.col("first.n").alias("n"))).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     near = plain.select("row_key", "text").filter(BitMap(wanted, "row_key").may_hold("row_key"))
-    sources = near.join(wanted, "row_key").withColumn("lines", F.split("text", "\n"))
-    sources = sources.select(F.explode(F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), _text(w["at"], w["n"]).alias("first_text")))).alias("w"))
+    cut = _lines(F.col("text"), lambda lines: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), _text(lines, w["at"], w["n"]).alias("first_text"))))
+    sources = near.join(wanted, "row_key").select(F.explode(cut).alias("w"))
     texts = materialize(sources.select("w.key", "w.first_text").dropDuplicates(["key"]), "firsts")
     marks = again.join(texts, "key").select("row_key", F.struct("at", "n", "first_text").alias("mark"))
     marks = materialize(marks.groupBy("row_key").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "marks")
-    out = _with(base.drop("text"), marks, "marks").withColumn("text", F.coalesce(F.col("src.text").cast("string"), F.lit(""))).withColumn("lines", F.split("text", "\n"))
-    out = out.withColumn("gone", F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: _text(m["at"], m["n"]) == m["first_text"]))
-    # lines between removed pieces, which may overlap: before the k-th one, and after the last
-    end = lambda k: F.coalesce(F.get(F.col("gone"), k)["at"], F.size("lines"))
-    begin = lambda k: F.coalesce(F.get(F.col("gone"), k - 1)["at"] + F.get(F.col("gone"), k - 1)["n"], F.lit(0))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0)))))
-    out = out.withColumn("kept", kept)
-    n_removed = (F.size("lines") - F.size("kept")).cast("long")
-    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join("kept", "\n"))
-    return out.select("src", "doc_id", F.size("lines").cast("long").alias("n_lines"), n_removed.alias("n_removed"), text.alias("kept_text"))
+    out = _with(base, marks, "marks").withColumn("found", _lines(F.col("text"), lambda lines: _without(lines, F.col("text"), F.coalesce("marks", F.array().cast(MARKS)))))
+    return out.select("src", "doc_id", "found.n_lines", "found.n_removed", "found.kept_text")
+
+
+def _without(lines: Column, text: Column, marks: Column) -> Column:
+    """(n_lines, n_removed, kept_text) after the marked pieces whose bytes are those of the first occurrence have gone."""
+
+    def result(gone: Column, kept: Column) -> Column:
+        removed = (F.size(lines) - F.size(kept)).cast("long")
+        return F.struct(F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"), F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
+
+    def rest(gone: Column) -> Column:
+        # lines between removed pieces, which may overlap: before the k-th one, and after the last
+        end = lambda k: F.coalesce(F.get(gone, k)["at"], F.size(lines))
+        begin = lambda k: F.coalesce(F.get(gone, k - 1)["at"] + F.get(gone, k - 1)["n"], F.lit(0))
+        kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0)))))
+        return let(kept, lambda kept: result(gone, kept))
+
+    return let(F.filter(marks, lambda m: _text(lines, m["at"], m["n"]) == m["first_text"]), rest)
