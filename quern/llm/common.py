@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO_ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import scratch_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,36 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package where PYTHONPATH was not set for them."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if REPO_ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, have) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    A local one is made only where the session names none, as in tests.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="quern-shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    ship(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage like checkpoint(), survives lost executors, and stores
-    columns compressed.
+    columns compressed. Goes with the driver, like all of the scratch folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

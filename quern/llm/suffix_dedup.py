@@ -8,17 +8,18 @@ position in eighty, and of those only anchors whose gram occurs again.
 1. Groups of texts send each distinct anchor gram once; buckets count them.
 2. Groups send the surroundings of repeated anchors, equal ones once.
 3. A bucket sorts the suffixes that start at its anchors, and the reversed
-   prefixes that end there, by deep-shallow sorting: a multikey sort, eight
-   bytes at a time, to a shallow depth, then blind tries for the groups that
+   prefixes that end there, by deep-shallow sorting: multikey quicksort, eight
+   bytes a character, to a shallow depth, then blind tries for the groups that
    still agree. Adjacent longest common prefixes then say, for every string
    around an anchor, whether the same bytes stand around another one. All
    comparisons are of bytes; hashes only choose candidates.
 4. Groups remove every byte under a repeated string.
 
 A gram that more than ``hot_groups`` groups hold could bring an unbounded
-number of different surroundings to one task. Its strings are instead counted
-one by one, by a 64-bit hash within buckets of a second hash, like any other
-spread key.
+number of different surroundings to one task. Such a hot key is split into its
+strings: these are spread over all buckets and compared there by two
+independent 64-bit hashes. Two different ones among the 10**14 strings of
+100 TB are taken for one with a probability below 1e-10 for the whole corpus.
 """
 
 from __future__ import annotations
@@ -79,27 +80,44 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
 
 
 def deep_shallow_sort(rows: np.ndarray, shallow: int = 8) -> np.ndarray:
-    """Order of equally long byte rows (width a multiple of 8)."""
+    """Order of equally long byte rows (width a multiple of 8).
+
+    Multikey quicksort on characters of eight bytes, all open groups at once: a
+    group is parted by its middle row's character into smaller, equal and larger
+    ones; the equal part goes on with the next character. Groups still equal
+    after ``shallow`` characters are ordered by blind tries.
+    """
     n = len(rows)
-    words = np.ascontiguousarray(rows).view(">u8").reshape(n, -1)
+    words = np.ascontiguousarray(rows).view(">u8").reshape(n, -1).astype(np.uint64)
+    shallow = min(shallow, words.shape[1])
     order = np.arange(n)
-    group = np.zeros(n, np.int64)  # by place in ``order``; equal for rows not told apart yet
-    for k in range(min(shallow, words.shape[1])):
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
-        if not len(tied):
-            return order
-        key = words[order[tied], k]
-        inner = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][inner]
-        cut = np.zeros(n, bool)
-        cut[1:] = group[1:] != group[:-1]
-        sorted_key, own = key[inner], group[tied]
-        cut[tied[1:]] |= (sorted_key[1:] != sorted_key[:-1]) | (own[1:] != own[:-1])
-        group = np.cumsum(cut)
-    ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-    starts = np.append(0, ends[:-1])
-    for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+    starts, ends, depth = (np.array([x], np.int64) for x in (0, n, 0))
+    if n < 2:
+        return order
+    deep: list[tuple[int, int]] = []
+    while len(starts):
+        at_end = depth >= shallow
+        deep += zip(starts[at_end].tolist(), ends[at_end].tolist(), strict=True)
+        starts, ends, depth = starts[~at_end], ends[~at_end], depth[~at_end]
+        if not len(starts):
+            break
+        size = ends - starts
+        group = np.repeat(np.arange(len(starts)), size)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size - starts, size)
+        key = words[order[place], depth[group]]
+        first = np.cumsum(size) - size
+        # the middle one of three keys
+        pivots = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)[1]
+        pivot = pivots[group]
+        part = (key > pivot).astype(np.int64) + (key >= pivot)
+        inner = np.argsort(group * 3 + part, kind="stable")
+        order[place] = order[place][inner]
+        counts = np.bincount(group * 3 + part, minlength=3 * len(starts)).reshape(-1, 3)
+        lo = np.concatenate([starts[:, None], starts[:, None] + np.cumsum(counts, axis=1)[:, :2]], axis=1)
+        deeper = np.stack([depth, depth + 1, depth], axis=1)
+        open_ = counts > 1
+        starts, ends, depth = lo[open_], (lo + counts)[open_], deeper[open_]
+    for s, e in deep:
         same: dict[bytes, list[int]] = {}
         for i in order[s:e].tolist():
             same.setdefault(rows[i].tobytes(), []).append(i)
@@ -119,11 +137,11 @@ def adjacent_prefixes(rows: np.ndarray, order: np.ndarray, block: int = 1 << 14)
     return out
 
 
-def repeated_strings(left: np.ndarray, right: np.ndarray, gram: int, least: np.ndarray, most: np.ndarray, again: np.ndarray) -> np.ndarray:
+def repeated_strings(left: np.ndarray, right: np.ndarray, gram: int, least: np.ndarray, most: np.ndarray) -> np.ndarray:
     """For each surrounding and each d, whether another one has the same d bytes before and length - d bytes from its anchor.
 
     left: bytes before the anchor, nearest first. right: bytes from the anchor
-    on. Only d in [least, most] count. again: stands for several equal ones.
+    on. Only d in [least, most] count. Rows are distinct.
     """
     n, length, reach = len(right), right.shape[1], left.shape[1]
     order = deep_shallow_sort(right)
@@ -134,16 +152,31 @@ def repeated_strings(left: np.ndarray, right: np.ndarray, gram: int, least: np.n
     keyed = np.concatenate([same_gram.astype(">i8").view(np.uint8).reshape(n, 8), left, np.zeros((n, pad), np.uint8)], axis=1)
     left_order = deep_shallow_sort(keyed)
     left_common = adjacent_prefixes(keyed, left_order) - 8
+    # the longest match of a row lies beside it in each order, which bounds the d that can be repeated
+    low, high = least, most
+    for sorted_, prefixes, on_left in ((left_order, left_common, True), (order, common, False)):
+        longest = np.empty(n, np.int64)
+        longest[sorted_] = np.maximum(prefixes, np.append(prefixes[1:], 0))
+        low, high = (low, np.minimum(high, longest)) if on_left else (np.maximum(low, length - longest), high)
     out = np.zeros((n, reach + 1), bool)
     own, other = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(reach + 1):
-        at = np.flatnonzero((least <= d) & (d <= most))
+    may = np.flatnonzero(low <= high)
+    if not len(may):
+        return out
+    for d in range(int(low[may].min()), int(high[may].max()) + 1):
+        at = may[(low[may] <= d) & (d <= high[may])]
         if not len(at):
             continue
+        # two rows share a string if no common prefix between them, in either order, is too short
         own[left_order] = np.cumsum(left_common < d)
         other[order] = np.cumsum(common < length - d)
-        _, inverse, count = np.unique(own[at] * (n + 1) + other[at], return_inverse=True, return_counts=True)
-        out[at, d] = (count[inverse] > 1) | again[at]
+        key = own[at] * (n + 1) + other[at]
+        by_key = np.argsort(key)
+        same = np.diff(key[by_key]) == 0
+        twin = np.zeros(len(at), bool)
+        twin[1:] |= same
+        twin[:-1] |= same
+        out[at[by_key[twin]], d] = True
     return out
 
 
@@ -220,16 +253,19 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(hashes: np.ndarray, bucket: np.ndarray):
-    """Distinct hashes by (bucket, hash): rows of each bucket, and for every input its place among them."""
-    order = np.lexsort((hashes, bucket))
-    h, b = hashes[order], bucket[order]
-    new = np.append(np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (b[1:] != b[:-1]))
+def packed(hashes: np.ndarray, bucket: np.ndarray, second: np.ndarray | None = None):
+    """Distinct hashes, or pairs of them, by bucket: the rows, their buckets, which stand for several, and for every input its place among them."""
+    columns = [hashes] if second is None else [hashes, second]
+    order = np.lexsort((*reversed(columns), bucket))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (bucket, *columns)], axis=0)
     first = np.flatnonzero(new)
-    place = np.empty(len(h), np.int64)
+    place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    again = np.diff(np.append(first, len(h))) > 1
-    return h[first], b[first], again, place
+    again = np.diff(np.append(first, len(order))) > 1
+    kept = order[first]
+    return np.stack([x[kept] for x in columns], axis=1), bucket[kept], again, place
 
 
 def _bucket_rows(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -246,11 +282,10 @@ ANSWER_SQL = "grp int, kind int, bucket int, n long, repeated binary, hot binary
 GRAMS, STRINGS, UNITS = 0, 1, 2
 
 
-def _send(grp: int, hashes: np.ndarray, bucket: np.ndarray) -> pa.Table:
-    h, b, again, _ = packed(hashes, bucket)
+def _send(grp: int, hashes: np.ndarray, bucket: np.ndarray, second: np.ndarray | None = None) -> pa.Table:
+    h, b, again, _ = packed(hashes, bucket, second)
     rows = _bucket_rows(b)
-    raw = h.tobytes()
-    return pa.Table.from_pydict({"bucket": [r[0] for r in rows], "grp": [grp] * len(rows), "n": [e - s for _, s, e in rows], "hashes": [raw[8 * s : 8 * e] for _, s, e in rows], "again": [np.packbits(again[s:e]).tobytes() for _, s, e in rows]}, SENT)
+    return pa.Table.from_pydict({"bucket": [r[0] for r in rows], "grp": [grp] * len(rows), "n": [e - s for _, s, e in rows], "hashes": [h[s:e].tobytes() for _, s, e in rows], "again": [np.packbits(again[s:e]).tobytes() for _, s, e in rows]}, SENT)
 
 
 def _bits(raw: bytes, n: int) -> np.ndarray:
@@ -270,14 +305,18 @@ def _count(kind: int, hot_groups: int):
     """Answers, one bit for each hash sent: is it repeated, and did more than ``hot_groups`` groups send it?"""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        again = [_bits(x, len(h)) for x, h in zip(table.column("again").to_pylist(), sent, strict=True)]
-        _, inverse, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-        count = count[inverse]
-        repeated, hot = (count > 1) | np.concatenate(again), count > hot_groups
-        ends = np.cumsum([len(x) for x in sent])
-        cut = [(e - len(x), e) for e, x in zip(ends, sent, strict=True)]
-        return pa.Table.from_pydict({"grp": table.column("grp").to_pylist(), "kind": [kind] * len(cut), "bucket": table.column("bucket").to_pylist(), "n": [len(x) for x in sent], "repeated": [np.packbits(repeated[s:e]).tobytes() for s, e in cut], "hot": [np.packbits(hot[s:e]).tobytes() for s, e in cut]}, ANSWER)
+        sizes = table.column("n").to_pylist()
+        sent = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64).reshape(sum(sizes), -1).T
+        again = np.concatenate([_bits(x, n) for x, n in zip(table.column("again").to_pylist(), sizes, strict=True)])
+        order = np.lexsort(tuple(sent)) if len(sent) > 1 else np.argsort(sent[0])
+        new = np.any([np.append(True, np.diff(x[order]) != 0) for x in sent], axis=0)
+        first = np.flatnonzero(new)
+        count = np.empty(len(order), np.int64)
+        count[order] = np.diff(np.append(first, len(order)))[np.cumsum(new) - 1]
+        repeated, hot = (count > 1) | again, count > hot_groups
+        ends = np.cumsum(sizes)
+        cut = [(e - n, e) for e, n in zip(ends.tolist(), sizes, strict=True)]
+        return pa.Table.from_pydict({"grp": table.column("grp").to_pylist(), "kind": [kind] * len(cut), "bucket": table.column("bucket").to_pylist(), "n": sizes, "repeated": [np.packbits(repeated[s:e]).tobytes() for s, e in cut], "hot": [np.packbits(hot[s:e]).tobytes() for s, e in cut]}, ANSWER)
 
     return run
 
@@ -319,8 +358,8 @@ class Group:
             self.unit[order] = np.arange(len(rows))
             self.unit_bucket, self.unit_again, first = _bucket(own, buckets)[order], np.zeros(len(rows), bool), order
         self.rows = rows[first]
-        self.string_hashes, second = (np.concatenate([np.empty(0, np.uint64), *(s[i] for s in self.hot)]) for i in (1, 2))
-        self.string_bucket = _bucket(second, buckets)
+        self.string_hashes, self.string_second = (np.concatenate([np.empty(0, np.uint64), *(s[i] for s in self.hot)]) for i in (1, 2))
+        self.string_bucket = _bucket(self.string_second, buckets)
 
 
 def _row_sums(rows: np.ndarray, block: int = 1 << 13) -> np.ndarray:
@@ -347,7 +386,7 @@ def _send_strings(length: int, gram: int, buckets: int):
         if not left.num_rows or not _answers(right, GRAMS, "hot").any():
             return SENT.empty_table()
         g = Group(_text(left), right, length, gram, buckets)
-        return _send(key[0].as_py(), g.string_hashes, g.string_bucket)
+        return _send(key[0].as_py(), g.string_hashes, g.string_bucket, g.string_second)
 
     return run
 
@@ -373,7 +412,7 @@ def _sort_units(length: int, gram: int):
         todo = np.flatnonzero(units[gram_inverse] > 1)
         if len(todo):
             x = distinct[todo]
-            out[todo] |= repeated_strings(x[:, :reach][:, ::-1], np.ascontiguousarray(x[:, reach : reach + length]), gram, least[todo], most[todo], more[todo])
+            out[todo] |= repeated_strings(x[:, :reach][:, ::-1], np.ascontiguousarray(x[:, reach : reach + length]), gram, least[todo], most[todo])
         bits = np.packbits(out, axis=1)[inverse]
         ends = np.cumsum(sizes)
         return pa.Table.from_pydict({"grp": table.column("grp").to_pylist(), "kind": [UNITS] * len(sizes), "bucket": table.column("bucket").to_pylist(), "n": [n * bits.shape[1] * 8 for n in sizes], "repeated": [bits[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], "hot": [b""] * len(sizes)}, ANSWER)
@@ -392,7 +431,7 @@ def _remove(length: int, gram: int, buckets: int):
         texts = _text(left)
         g = Group(texts, right, length, gram, buckets)
         units = _answers(right, UNITS, "repeated").reshape(-1, -(-(reach + 1) // 8) * 8)[:, : reach + 1]
-        _, _, _, place = packed(g.string_hashes, g.string_bucket)
+        _, _, _, place = packed(g.string_hashes, g.string_bucket, g.string_second)
         hot = _answers(right, STRINGS, "repeated")[place] if len(place) else np.empty(0, bool)
         gone: dict[int, list[np.ndarray]] = {}  # by first row: starts of repeated strings
         done = hot_done = 0
@@ -429,7 +468,8 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = 200, gram: int = 48,
 
     Null and empty texts, and texts shorter than a string, lose nothing.
     Repeated rows are texts of their own, so both lose their strings. Null ids
-    stay null. Other columns are ignored.
+    stay null. A very long text is taken in overlapping parts. Other columns are
+    ignored, an empty table gives no rows.
     """
     if not 8 <= gram <= length or (length - gram) > 255:
         raise ValueError("gram must lie between 8 and length, and length - gram must be below 256")

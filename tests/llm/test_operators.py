@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import brute
 import numpy as np
@@ -117,6 +118,28 @@ def test_deep_shallow_order():
     assert [texts[i] for i in suffix_dedup.blind_trie_order(texts)] == sorted(texts)
 
 
+def test_repeated_strings_of_surroundings():
+    """Every (row, d) against all pairs of rows."""
+    rng = np.random.default_rng(3)
+    length, gram = 24, 8
+    reach = length - gram
+    for _ in range(20):
+        base = rng.integers(0, 2, (6, reach + length)).astype(np.uint8)
+        full = base[rng.integers(0, 6, 40)]
+        for row in full:
+            for _ in range(rng.integers(0, 3)):
+                row[rng.integers(0, reach + length)] ^= 1
+        full = np.unique(full, axis=0)
+        least = rng.integers(0, 6, len(full))
+        most = least + rng.integers(0, reach - 5, len(full))
+        got = suffix_dedup.repeated_strings(np.ascontiguousarray(full[:, :reach][:, ::-1]), np.ascontiguousarray(full[:, reach:]), gram, least, most)
+        for i in range(len(full)):
+            for d in range(reach + 1):
+                own = full[i, reach - d : reach - d + length]
+                others = (j for j in range(len(full)) if j != i and least[j] <= d <= most[j])
+                assert got[i, d] == (least[i] <= d <= most[i] and any((full[j, reach - d : reach - d + length] == own).all() for j in others))
+
+
 def near_of(df, **options):
     options = {"shingle": 3, "percent": 85, "bands": 32, "rows": 6} | options
     return {r.doc_id: (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.find_near_duplicates(df, **options).collect()}
@@ -198,20 +221,27 @@ def test_decontamination(spark, docs, rows):
     items = [(1, rows[16][1][:150]), (2, "one two"), (3, None), (4, ""), (5, words(random.Random(5), 12)), (None, "one two"), (2, rows[11][1]), (6, "É É")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {r[0]: r for r in brute.contamination(rows, items)}
-    for size in (1 << 20, 2000):
+    for size in (1 << 20, 20000):
         found = decontaminate.find_contamination(docs, bench, broadcast_bytes=size).collect()
         assert {r.doc_id: (r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found} == want
-    cleaned = decontaminate.find_contamination(docs, bench, with_text=True).filter("contaminated").select("doc_id", F_text()).collect()
-    assert {r.doc_id for r in cleaned} == {i for i, w in want.items() if w[2]}
+    whole = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench, with_text=True).collect()}
+    assert {i for i, r in whole.items() if r.clean_text is not None} == {i for i, r in want.items() if r[2]}
+    for i, text in rows:
+        if whole[i].clean_text is not None:
+            # the words that are not hit stay, in their order, as they were written
+            word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+            own, gone = word.findall(text.encode()), [(s.start, s.end) for s in whole[i].hit_spans]
+            kept = [w for k, w in enumerate(own) if not any(a <= k < b for a, b in gone)]
+            assert word.findall(whole[i].clean_text.encode()) == kept
+    # the same from many blocks, also for repeated rows
+    twice = docs.unionByName(docs)
+    for df, times in ((docs, 1), (twice, 2)):
+        split = decontaminate.find_contamination(df, bench, with_text=True, broadcast_bytes=4000).collect()
+        assert len(split) == times * len(rows)
+        assert all((r.n_words, r.hit_spans, r["items"], r.clean_text) == (whole[r.doc_id].n_words, whole[r.doc_id].hit_spans, whole[r.doc_id]["items"], whole[r.doc_id].clean_text) for r in split)
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("contaminated").isEmpty()
 
 
-def F_text():
-    from pyspark.sql import functions as F
-
-    return F.col("clean_text").alias("text")
-
-
 def test_tokens_equal_the_library(spark, docs, rows, sample):
     import sentencepiece
 
