@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ann, decontaminate, html_text, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts
 from .common import table
+from .oracles import ORACLES  # noqa: F401  beside QUERIES, for the driver
 
 BYTE_MODEL, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -73,5 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLES: dict[str, str] = {}
