@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_free, prepare
+from .common import materialize, null_free, prepare, row_salted
 
 SPACE = "▁"  # how the model writes a space
 CACHE_ENTRIES = 1 << 19
@@ -35,6 +35,13 @@ def load(model_path: str):
     return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
+@lru_cache(maxsize=2)
+def takes_text_as_it_is(model_path: str) -> bool:
+    """Whether the model changes nothing in a text but spaces: only then words and chunks can be counted apart."""
+    probe = "\ufb01 \uff21 e\u0301 \u00e9 \u00bd x\u00a0y \u2126 \u3042 \u304b\u3099 A"
+    return load(model_path).normalize(probe).replace(SPACE, " ").strip() == probe
+
+
 @lru_cache(maxsize=2)
 def joined_pairs(model_path: str) -> frozenset[str]:
     """Every pair of characters that stand side by side in some piece."""
@@ -60,7 +67,7 @@ class Counter:
         self.model = load(model_path)
         pairs = joined_pairs(model_path)
         # a space after any other character is a stable place, unless some piece joins the two
-        self.by_words = not any(p[1] == SPACE and p[0] != SPACE for p in pairs)
+        self.by_words = takes_text_as_it_is(model_path) and not any(p[1] == SPACE and p[0] != SPACE for p in pairs)
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> int:
@@ -84,28 +91,29 @@ def _count_whole(model_path: str):
         count = Counter(model_path)
         for batch in batches:
             tokens = [count(text.as_py()) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "copies", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
 def _cut(chunk_chars: int):
-    """Rows (doc_id, text, n_bytes, copies, overlap, row_key) into overlapping chunks."""
+    """Rows (doc_id, text, n_bytes, overlap, row_key) into overlapping chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, n_bytes, copies, overlap, key in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for doc_id, text, n_bytes, overlap, key in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 step = max(chunk_chars, overlap)
                 starts = list(range(0, max(1, len(text) - overlap), step))
                 for i, at in enumerate(starts):
                     end = len(text) if i + 1 == len(starts) else at + step + overlap
-                    yield pa.RecordBatch.from_pydict({"row_key": [key], "doc_id": [doc_id], "n_bytes": [n_bytes], "copies": [copies], "overlap": [overlap], "chunk": [i], "n_chunks": [len(starts)], "at": [at], "text": [text[at:end]]}, CHUNK_ARROW)
+                    yield pa.RecordBatch.from_pydict({"row_key": [key], "doc_id": [doc_id], "n_bytes": [n_bytes], "overlap": [overlap], "chunk": [i], "n_chunks": [len(starts)], "at": [at], "text": [text[at:end]]}, CHUNK_ARROW)
 
     return run
 
 
-CHUNKS = "row_key long, doc_id long, n_bytes long, copies long, overlap int, chunk int, n_chunks int, at long"
-CHUNK_ARROW = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("copies", pa.int64()), ("overlap", pa.int32()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("at", pa.int64()), ("text", pa.string())])
+COUNTED = "doc_id long, n_bytes long, n_tokens long"
+CHUNKS = "row_key long, doc_id long, n_bytes long, overlap int, chunk int, n_chunks int, at long"
+CHUNK_ARROW = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("overlap", pa.int32()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("at", pa.int64()), ("text", pa.string())])
 EDGES = "total long, head_at array<long>, head_before array<long>, tail_at array<long>, tail_before array<long>"
 
 
@@ -162,7 +170,7 @@ def splice(chunks: pd.DataFrame) -> int | None:
 def _splice(pdf: pd.DataFrame) -> pd.DataFrame:
     n = splice(pdf)
     first = pdf.iloc[0]
-    return pd.DataFrame({"row_key": [first["row_key"]], "doc_id": pd.array([None if pd.isna(first["doc_id"]) else int(first["doc_id"])], "Int64"), "n_bytes": [first["n_bytes"]], "copies": [first["copies"]], "n_tokens": pd.array([n], "Int64")})
+    return pd.DataFrame({"row_key": [first["row_key"]], "doc_id": pd.array([None if pd.isna(first["doc_id"]) else int(first["doc_id"])], "Int64"), "n_bytes": [first["n_bytes"]], "n_tokens": pd.array([n], "Int64")})
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, huge_chars: int = 1 << 15, chunk_chars: int = 1 << 14, overlap: int = 256) -> DataFrame:
@@ -175,25 +183,22 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, huge_ch
     prepare(spark)
     base = null_free(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
     base = base.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    if not takes_text_as_it_is(model_path):
+        huge_chars = (1 << 31) - 1
     chars = F.char_length("text")
-    small = base.filter(chars <= huge_chars).withColumn("copies", F.lit(1).cast("long"))
-    counted = small.mapInArrow(_count_whole(model_path), "doc_id long, n_bytes long, copies long, n_tokens long")
-    # equal rows meet here once, so that a text's chunks are unique by its key
-    left = base.filter(chars > huge_chars).groupBy("doc_id", "text", "n_bytes").agg(F.count(F.lit(1)).alias("copies"))
-    left = left.withColumn("overlap", F.lit(overlap)).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    parts = [counted]
-    for _ in range(40):
-        chunks = left.select("doc_id", "text", "n_bytes", "copies", "overlap", "row_key").mapInArrow(_cut(chunk_chars), f"{CHUNKS}, text string")
+    counted = base.filter(chars <= huge_chars).mapInArrow(_count_whole(model_path), COUNTED)
+    # huge texts are few and stored once, each with a key of its own, equal rows too
+    salted = row_salted(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    left = materialize(salted.filter(chars > huge_chars).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.col("salt").alias("row_key")), "huge")
+    todo, parts = left, [counted]
+    while not todo.isEmpty():
+        chunks = todo.select("doc_id", "text", "n_bytes", F.lit(overlap).alias("overlap"), "row_key").mapInArrow(_cut(chunk_chars), f"{CHUNKS}, text string")
         edges = chunks.repartition("row_key", "chunk").mapInArrow(_encode_chunks(model_path), f"{CHUNKS}, {EDGES}")
-        spliced = materialize(edges.groupBy("row_key").applyInPandas(_splice, "row_key long, doc_id long, n_bytes long, copies long, n_tokens long"), "tokens")
+        spliced = materialize(edges.groupBy("row_key").applyInPandas(_splice, f"row_key long, {COUNTED}"), "tokens")
         parts.append(spliced.filter("n_tokens is not null").drop("row_key"))
-        failed = spliced.filter("n_tokens is null").select("row_key")
-        if failed.isEmpty():
-            break
-        left = left.join(failed, "row_key", "left_semi").withColumn("overlap", F.col("overlap") * 8)
-    out = parts[0].select("doc_id", "n_bytes", "copies", "n_tokens")
+        # where no common place was found, overlaps grow until a chunk holds the whole text
+        todo, overlap = left.join(spliced.filter("n_tokens is null").select("row_key"), "row_key", "left_semi"), overlap * 8
+    out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    # copies is 1 but for repeated rows
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -545,3 +545,60 @@ def test_null_and_repeated_ids(spark):
     assert line_dedup.remove_repeated_lines(twice).count() == 5
     assert packing.pack(twice, *BYTES).count() == 5
     assert quality.score_documents(twice, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 5
+
+
+def test_quality_fit_equals_a_direct_computation(spark):
+    """Ridge weights by least squares on all rows at once; calibration by the definition of isotonic regression."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, labels, fourier=32)
+    import zlib
+
+    import pyarrow as pa
+
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = [(r.doc_id, float(r.quality), zlib.crc32(str(r.doc_id).encode()) % 5) for r in labels.collect()]
+    rows = [r for r in rows if r[2] and r[0] in text]
+    x = quality.column_statistics(pa.array([text[i] for i, _, _ in rows]), quality._stop_hashes())
+    y, fold = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 0, x.std(axis=0), 1))
+    z = np.array([[*(np.sqrt(2 / 32) * np.cos(((row - model.mean) / model.scale) @ model.direction[:, k] + model.phase[k]) for k in range(32)), 1.0] for row in x])
+
+    def ridge(some):
+        weight = np.sqrt(1e-3 * some.sum() * np.array([*[1 / 32] * 32, 1e-9]))
+        return np.linalg.lstsq(np.concatenate([z[some], np.diag(weight)]), np.concatenate([y[some], np.zeros(33)]), rcond=None)[0]
+
+    assert np.allclose(model.weights, ridge(fold > 0), rtol=1e-5, atol=1e-6)
+    # each row's raw score comes from the other folds
+    raw = np.array([z[i] @ ridge((fold > 0) & (fold != fold[i])) if (fold != fold[i]).any() else 0 for i in range(len(z))])
+    bins = np.round(np.clip(raw, -1, 2) * quality.BINS)
+    points = sorted(set(bins.tolist()))
+    mean = lambda a, b: y[(bins >= points[a]) & (bins <= points[b])].mean()
+    for i in range(0, len(points), max(1, len(points) // 25)):
+        want = max(min(mean(a, b) for b in range(i, len(points))) for a in range(i + 1))
+        got = [p for r, p in zip(model.raw, model.probability, strict=True) if abs(p - want) < 1e-6]
+        assert got, (i, want)
+
+
+def test_quality_statistics():
+    import pyarrow as pa
+
+    texts = ["", "The THE cat cat.", "a  b\n\n9 !", "é É"]
+    got = quality.column_statistics(pa.array(texts), quality._stop_hashes())
+    name = {n: k for k, n in enumerate(quality.STATISTIC_NAMES)}
+    for text, row in zip(texts, got, strict=True):
+        words, raw = text.encode().split(), text.encode()
+        assert np.isclose(row[name["log bytes"]], np.log1p(len(raw))) and np.isclose(row[name["log words"]], np.log1p(len(words)))
+        assert np.isclose(row[name["mean word length"]], np.mean([len(w) for w in words]) if words else 0)
+        assert np.isclose(row[name["upper"]], sum(65 <= c <= 90 for c in raw) / max(1, len(raw)))
+        assert np.isclose(row[name["digit"]], sum(48 <= c <= 57 for c in raw) / max(1, len(raw)))
+
+
+def test_clashing_names_in_other_tables(spark, rows):
+    docs = frame(spark, rows[:12])
+    bench = spark.createDataFrame([(1, "one two", 7, "x")], "item_id long, text string, window int, n_words string")
+    assert decontaminate.find_contamination(docs, bench).filter("contaminated").count() == 2
+    labels = spark.createDataFrame([(i, i % 2, 3, "t", 0.5) for i in range(30)], "doc_id long, quality int, fold int, text string, label double")
+    assert quality.score_documents(docs, labels).count() == 12
+    pages = spark.createDataFrame([(1, "u", "<p>a", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()] == [("a", 1)]

@@ -44,3 +44,36 @@ def test_registered(name):
     import __spark_entry__
 
     assert sum(q.startswith(name) for q in __spark_entry__.queries()) == 1
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars int, score string, src string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    prose = "It was the best of times, it was the worst of times, and there was more of it than of the other one. " * 4
+    long = "\n".join(f"Line {k} of the very long text that is here for the test of it, with number {k * k}." for k in range(4000))
+    rows = [(None, None), (None, prose), (1, ""), (1, ""), (2, prose), (2, prose), (3, prose + "End."), (4, None), (5, long), (6, long + " x"), (7, " \n \n"), (8, "a\nb\nc"), (9, "z\na\nb\nc")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", "clash") for i, t in rows], DOCS).repartition(3)
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_odd_rows(spark, odd, name, stage):
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    out = stage(spark, odd, SF)
+    rows = out.collect()
+    if name == "packing":
+        assert len({(r.doc_id, r.piece) for r in rows if r.doc_id in (1, 2)}) == 2 and len([r for r in rows if r.doc_id is None]) == 2
+        return
+    assert out.columns == odd.columns and all(r.score == r.src == "clash" for r in rows)
+    ids = [r.doc_id for r in rows]
+    if name == "line_dedup":
+        assert len(rows) == 13
+        assert {r.text for r in rows if r.doc_id == 9} == {"z"} and {r.n_chars for r in rows if r.doc_id == 9} == {1}
+        assert {r.text for r in rows if r.doc_id == 4} == {None}
+    elif name == "near_dedup":
+        assert ids.count(None) == 2 and ids.count(1) == 2 and ids.count(2) == 2 and set(ids) == {None, 1, 2, 4, 5, 7, 8, 9}
+    elif name == "decontamination":
+        assert len(rows) == 13
+    else:
+        assert ids.count(1) in (0, 2) and ids.count(2) in (0, 2)
