@@ -46,8 +46,9 @@ class Version:
 
 
 class Database:
-    def __init__(self, spark: SparkSession, name: str, root: str):
-        self.spark, self.name, self.root = spark, name, f"{root.rstrip('/')}/{name}"
+    def __init__(self, spark: SparkSession, name: str, root: str, codec: str = "zstd"):
+        """``codec``: how the parts of tables and of the change feed are compressed, one of ``files.CODECS``."""
+        self.spark, self.name, self.root, self.codec = spark, name, f"{root.rstrip('/')}/{name}", codec
         self.tables: dict[str, Version] = {}
         self._saved: dict[str, Version] | None = None
         self._seq = 0
@@ -134,7 +135,7 @@ class Database:
 
     def _write(self, name: str, df: DataFrame) -> str:
         path = f"{self.root}/{name.lower()}/part-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         return path
 
     def _replace(self, name: str, df: DataFrame, definition: TableDef) -> None:
@@ -163,7 +164,7 @@ class Database:
         for op, name, rows in pending:
             seq += 1
             out = rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(name).alias("table_name"), F.to_json(F.struct("*")).alias("data"))
-            out.write.mode("append").parquet(self.feed_path)
+            out.write.mode("append").option("compression", self.codec).parquet(self.feed_path)
 
     # ---- the version map, through the file system of the root
 

@@ -335,3 +335,44 @@ def stream_unexpired(t):
 def stream_ring(t):
     rows = t.events.withColumn("ttl", F.col("event_id") % 5 * 3600)
     return streams.ring(rows, 7, "ts", "ttl", F.lit("2024-01-20").cast("timestamp")).select("event_id")
+
+
+@query("SELECT n_regionkey AS topic, CAST(n_nationkey AS BIGINT) AS seq FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey > (SELECT min(n_nationkey) FROM nation AS x WHERE x.n_regionkey = nation.n_regionkey AND x.n_nationkey % 4 <> 1) AND n_nationkey < (SELECT max(n_nationkey) FROM nation AS x WHERE x.n_regionkey = nation.n_regionkey AND x.n_nationkey % 4 <> 1)")
+def stream_resend(t):
+    """Messages that a follower has missed, asked for again."""
+    log = t.nation.select(F.col("n_regionkey").alias("topic"), F.col("n_nationkey").cast("long").alias("seq"))
+    return streams.resend(log, log.filter("seq % 4 <> 1"))
+
+
+# ---- the session ---------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('SELECT', 3::BIGINT, 1::BIGINT), ('CREATE', 1, 0), ('INSERT', 1, 0)) AS x(statement, n, errors)")
+def sql_metrics(t):
+    """Counted statements; one of them fails."""
+    engine = _engine(t)
+    _run(engine, "CREATE TABLE m (i INT)", "INSERT INTO m VALUES (1)", "SELECT * FROM m", "SELECT count(*) AS n FROM m")
+    try:
+        engine.sql("SELECT never FROM m")
+    except AnalysisException:
+        pass
+    seen = engine.metrics
+    return t.spark.createDataFrame([(k, n, seen.errors[k]) for k, n in seen.statements.items()], "statement string, n long, errors long")
+
+
+@query("SELECT * FROM (VALUES ('all columns', false), ('one column', true)) AS x(what, allowed)")
+def sql_memory_limit(t):
+    """A SELECT whose tables are too large for the session is refused; one that leaves their columns unread is not."""
+    from ..engine import Engine, MemoryLimitError
+
+    t.views("documents")
+    engine = Engine(t.spark, _folder(t, "engine"))
+    engine.memory_limit = 3 * int(engine.sql("SELECT doc_id FROM documents")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    out = []
+    for what, s in (("all columns", "SELECT * FROM documents"), ("one column", "SELECT doc_id FROM documents")):
+        try:
+            engine.sql(s)
+            out.append((what, True))
+        except MemoryLimitError:
+            out.append((what, False))
+    return t.spark.createDataFrame(out, "what string, allowed boolean")

@@ -72,6 +72,13 @@ def sequence_gaps(messages: DataFrame, keys: Sequence[str] = ("topic",)) -> Data
     return seen.filter("seq > expected").select(*keys, "expected", F.col("seq").alias("got"))
 
 
+def resend(log: DataFrame, received: DataFrame, keys: Sequence[str] = ("topic",)) -> DataFrame:
+    """What a follower asks for again: published messages that lie in its gaps. Duplicates do not matter."""
+    gaps = sequence_gaps(received, keys)
+    wanted = gaps.select(*keys, F.explode(F.sequence(F.col("expected"), F.col("got") - 1)).alias("seq"))
+    return log.join(wanted, [*keys, "seq"], "left_semi")
+
+
 def rollup(stream: DataFrame, ts: str, value: str, interval: str, *, keys: Sequence[str] = (), late: str = "10m", slide: str | None = None) -> DataFrame:
     """Running sum, count, min, max and true average of each window and key."""
     sizes = [sql_interval(interval_micros(x)) for x in ([interval, slide] if slide else [interval])]
