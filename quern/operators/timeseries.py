@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.temporal import interval_micros, sql_interval, time_bucket
+from ..session import scratch_dir
 
 #: Buckets of one series that one task fills; longer series are cut and get what the cuts around hold.
 CUT = 1 << 16
@@ -83,66 +84,76 @@ def _neighbours(df: DataFrame, ts: str, values: list[str], keys: Sequence[str],
     return out.join(carried, same).withColumns({n: F.coalesce(n, f"c{n}") for n in near})
 
 
-# ---- windows without keys, in bounded tasks ---------------------------------
+# ---- windows over long series, in bounded tasks -----------------------------
 
-#: Rows of one task of a window without keys, and cuts by which rows are numbered.
-BLOCK, CUTS = 1 << 16, 256
+#: Rows of one task.
+BLOCK = 1 << 16
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "__row") -> DataFrame:
-    """Adds each row's number from 0 in ascending order; ties in any order.
+def _equal(keys: Sequence[str]) -> Column:
+    """Join condition with the renamed keys of a table of starts; null keys are equal."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return out
 
-    Quantiles of the first column cut the table; rows are numbered within their
-    cut, and cuts start where the ones before them end. Columns without
-    quantiles (text) are cut by their first two characters.
-    """
-    kind = df.schema[order[0]].dataType
-    first = F.col(order[0])
-    if isinstance(kind, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
-        bounds = df.agg(F.percentile_approx(first, [k / CUTS for k in range(1, CUTS)], 4096)).first()[0] or []
-        cut = F.lit(0)
-        if bounds:
-            cut = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in sorted(set(bounds)))), lambda b: b <= first))
-        df = df.withColumn("__cut", F.when(first.isNull(), F.lit(-1)).otherwise(cut).cast("string"))
-    else:
-        df = df.withColumn("__cut", F.substring(first.cast("string"), 1, 2))
-    cuts = df.groupBy("__cut").agg(F.min(first).alias("__least"), F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)  # one row a cut
-    starts = cuts.select(F.col("__cut").alias("__own"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = df.withColumn("__n", F.row_number().over(Window.partitionBy("__cut").orderBy(*order)))
-    return within.join(starts, F.col("__cut").eqNullSafe(F.col("__own"))).withColumn(name, F.col("__start") + F.col("__n") - 1).drop("__cut", "__own", "__start", "__n")
 
+def _renamed(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
 
-def _blocks(df: DataFrame, order: Sequence[str], before: int) -> tuple[DataFrame, Window]:
+
+def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "__row") -> DataFrame:
+    """Adds each row's number from 0 in ascending order, within its keys if there are any; ties in any order.
+
+    Rows are stored once, dealt by ranges of keys and order, so that a series
+    spreads over as many tasks as it needs. They are numbered within their
+    range, and ranges start where a series' ranges before them end.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    sizes = stored.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range of a series
+    starts = sizes.select(*_renamed(keys), F.col("__part").alias("__own"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = stored.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)))
+    joined = within.join(starts, _equal(keys) & (F.col("__part") == F.col("__own")))
+    return joined.select(*df.columns, (F.col("__start") + F.col("__n") - 1).alias(name))
+
+
+def _blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str], before: int) -> tuple[DataFrame, Window]:
     """Rows by blocks, each with ``before`` rows of the block before it (where ``__own`` is false), and a block's window."""
     size = max(BLOCK, before)
-    rows = numbered(df, order)
+    rows = numbered(df, order, keys)
     own = F.floor(F.col("__row") / size)
     last = F.pmod(F.col("__row"), F.lit(size)) >= size - before
     to = F.when(last, F.array(own, own + 1)).otherwise(F.array(own))
     out = rows.withColumn("__block", F.explode(to)).withColumn("__own", F.col("__block") == own)
-    return out, Window.partitionBy("__block").orderBy("__row")
+    return out, Window.partitionBy(*keys, "__block").orderBy("__row")
 
 
 def _only_own(df: DataFrame) -> DataFrame:
     return df.filter("__own").drop("__own", "__block", "__row")
 
 
-def _carried(df: DataFrame, value: Column) -> DataFrame:
-    """Adds ``__before``, the sum of ``value`` over all earlier blocks."""
-    sums = df.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    return df.join(sums.select("__block", F.sum("__sum").over(earlier).alias("__before")), "__block")
+def _carried(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
+    """Adds ``__before``, the sum of ``value`` over all earlier blocks of the series."""
+    sums = df.groupBy(*keys, "__block").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = sums.select(*_renamed(keys), F.col("__block").alias("__at"), F.sum("__sum").over(earlier).alias("__before"))
+    return df.join(starts, _equal(keys) & (F.col("__block") == F.col("__at"))).drop("__at", *(f"__key{i}" for i in range(len(keys))))
 
 
-def moving(df: DataFrame, value: str, n: int, order: Sequence[str], *, keys: Sequence[str] = (), how: Callable[[Column], Column] = F.avg, name: str | None = None) -> DataFrame:
-    """Aggregate of each row and the n - 1 before it."""
+def moving(df: DataFrame, value: str, n: int, order: Sequence[str], *, keys: Sequence[str] = (), how: Callable[[Column], Column] = F.avg, name: str | None = None, bounded: bool | None = None) -> DataFrame:
+    """Aggregate of each row and the n - 1 before it.
+
+    bounded: in blocks of at most ``BLOCK`` rows a task. That is the way of
+    windows without keys; with keys it is for series of very many rows.
+    """
     name = name or f"moving_{value}"
-    w = Window.partitionBy(*keys).orderBy(*order)
-    if not keys:
-        df, w = _blocks(df, order, n - 1)
-    out = df.withColumn(name, how(F.col(value)).over(w.rowsBetween(1 - n, 0)))
-    return out if keys else _only_own(out)
+    if keys if bounded is None else not bounded:
+        return df.withColumn(name, how(F.col(value)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)))
+    df, w = _blocks(df, order, keys, n - 1)
+    return _only_own(df.withColumn(name, how(F.col(value)).over(w.rowsBetween(1 - n, 0))))
 
 
 def between(df: DataFrame, ts: str, start, end) -> DataFrame:
@@ -232,41 +243,39 @@ def with_average(rolled: DataFrame) -> DataFrame:
 # ---- codecs ----------------------------------------------------------------
 
 
-def delta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "delta") -> DataFrame:
-    """Difference to the row before; the first row keeps its value."""
-    kind, w = df.schema[value].dataType, Window.partitionBy(*keys).orderBy(*order)
-    if not keys:
-        df, w = _blocks(df, order, 1)
-    out = df.withColumn(name, F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0).cast(kind)))
-    return out if keys else _only_own(out)
+def delta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "delta", *, bounded: bool | None = None) -> DataFrame:
+    """Difference to the row before; the first row keeps its value. ``bounded`` as in ``moving``."""
+    step = lambda w: F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0).cast(df.schema[value].dataType))
+    if keys if bounded is None else not bounded:
+        return df.withColumn(name, step(Window.partitionBy(*keys).orderBy(*order)))
+    rows, w = _blocks(df, order, keys, 1)
+    return _only_own(rows.withColumn(name, step(w)))
 
 
-def undelta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """Running sums, which undo ``delta``."""
-    if keys:
+def undelta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "value", *, bounded: bool | None = None) -> DataFrame:
+    """Running sums, which undo ``delta``. ``bounded`` as in ``moving``."""
+    if keys if bounded is None else not bounded:
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    df, w = _blocks(df, order, 0)
+    rows, w = _blocks(df, order, keys, 0)
     own = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.when(F.col("__before").isNull(), F.col("__run")).otherwise(F.col("__before") + F.coalesce("__run", F.lit(0)))
-    return _only_own(_carried(df.withColumn("__run", own), F.col(value)).withColumn(name, total).drop("__run", "__before"))
+    return _only_own(_carried(rows.withColumn("__run", own), F.col(value), keys).withColumn(name, total).drop("__run", "__before"))
 
 
 def delta_of_delta(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), name: str = "delta2") -> DataFrame:
     return delta(delta(df, value, order, keys, "__d"), "__d", order, keys, name).drop("__d")
 
 
-def run_lengths(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, run, value, length, first): runs of equal neighbours, first by order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    if not keys:
-        df, w = _blocks(df, order, 1)
-    new = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("bigint")
-    if keys:
-        marked = df.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def run_lengths(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (), *, bounded: bool | None = None) -> DataFrame:
+    """(keys, run, value, length, first): runs of equal neighbours, first by order. ``bounded`` as in ``moving``."""
+    new = lambda w: (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("bigint")
+    if keys if bounded is None else not bounded:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        marked = df.withColumn("run", F.sum(new(w)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     else:
-        flagged = df.withColumn("__new", new).filter("__own")
-        running = flagged.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        marked = _carried(running, F.col("__new")).withColumn("run", F.col("__run") + F.coalesce("__before", F.lit(0)))
+        rows, w = _blocks(df, order, keys, 1)
+        running = rows.withColumn("__new", new(w)).filter("__own").withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        marked = _carried(running, F.col("__new"), keys).withColumn("run", F.col("__run") + F.coalesce("__before", F.lit(0)))
     return marked.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("first"))
 
 

@@ -87,23 +87,22 @@ def test_quantizers(spark):
     assert back.filter(F.array_max("d") > 0.005).isEmpty()
 
 
-def test_windows_without_keys_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_windows_in_blocks(spark, monkeypatch, keys):
     """Numbers, moving averages, deltas, sums and runs over many small blocks equal those of one window."""
     monkeypatch.setattr(TS, "BLOCK", 16)
-    monkeypatch.setattr(TS, "CUTS", 8)
-    rows = [(k, None if k % 11 == 0 else k * k % 97, f"n{k % 300:03d}", k // 5 % 3) for k in range(300)] + [(None, 5, "a", 1)]
-    df = spark.createDataFrame(rows, "id int, x int, name string, v int").repartition(7)
-    whole = Window.partitionBy().orderBy("id")
+    rows = [(k, None if k % 11 == 0 else k * k % 97, f"n{k % 300:03d}", k // 5 % 3, None if k % 4 == 0 else k % 2) for k in range(300)] + [(None, 5, "a", 1, 1)]
+    df = spark.createDataFrame(rows, "id int, x int, name string, v int, g int").repartition(7)
+    whole = Window.partitionBy(*keys).orderBy("id")
+    same = lambda a, b: sorted(map(tuple, a.select(*b.columns).collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
     for order in ("id", "name"):
-        got = [r["__row"] for r in TS.numbered(df, [order, "id"]).orderBy(order, "id").collect()]
-        assert got == list(range(301))
-    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+        want = df.withColumn("__row", (F.row_number().over(Window.partitionBy(*keys).orderBy(order, "id")) - 1).cast("long"))
+        assert same(TS.numbered(df, [order, "id"], keys), want)
     for n in (1, 4, 40):
-        assert same(TS.moving(df, "x", n, ["id"], name="m"), df.withColumn("m", F.avg("x").over(whole.rowsBetween(1 - n, 0))))
-    assert same(TS.delta(df, "x", ["id"]), df.withColumn("delta", F.col("x") - F.coalesce(F.lag("x").over(whole), F.lit(0))))
-    assert same(TS.undelta(df, "x", ["id"], name="s"), df.withColumn("s", F.sum("x").over(whole.rowsBetween(Window.unboundedPreceding, 0))))
-    runs = TS.run_lengths(df, "v", ["id"]).orderBy("run").collect()
-    assert [r["length"] for r in runs] == [1] + [5] * 60 and [r["run"] for r in runs] == list(range(1, 62))
+        assert same(TS.moving(df, "x", n, ["id"], keys=keys, name="m", bounded=True), df.withColumn("m", F.avg("x").over(whole.rowsBetween(1 - n, 0))))
+    assert same(TS.delta(df, "x", ["id"], keys, bounded=True), df.withColumn("delta", F.col("x") - F.coalesce(F.lag("x").over(whole), F.lit(0))))
+    assert same(TS.undelta(df, "x", ["id"], keys, name="s", bounded=True), df.withColumn("s", F.sum("x").over(whole.rowsBetween(Window.unboundedPreceding, 0))))
+    assert same(TS.run_lengths(df, "v", ["id"], keys, bounded=True), TS.run_lengths(df, "v", ["id"], keys, bounded=False))
 
 
 def test_keyed_series_are_cut_too(spark, monkeypatch):
