@@ -32,3 +32,28 @@ def test_binary(embeddings, exact):
 def test_ivf(embeddings, exact):
     index = VI.IvfIndex(embeddings, "embedding", lists=8)
     assert recall(lambda q: index.search(q, 10, probes=4, ties=("vec_id",)), exact) == 1
+
+
+def test_ivf_with_few_probes_stays_exact(embeddings, exact):
+    index = VI.IvfIndex(embeddings, "embedding", lists=16)
+    assert recall(lambda q: index.search(q, 10, probes=1, ties=("vec_id",)), exact) == 1
+
+
+def test_product_codes(embeddings, exact):
+    index = VI.ProductCodes(embeddings, "embedding", parts=8)
+    assert recall(lambda q: index.search(q, 10, shortlist=30, ties=("vec_id",)), exact) == 1
+
+
+def test_graph(spark, embeddings, exact):
+    index = VI.GraphIndex(embeddings, "embedding", "vec_id", shard_rows=200)
+    again = VI.GraphIndex.open(spark, index.path)
+    found = lambda q: again.search(q, 10).withColumnRenamed("key", "vec_id")
+    assert recall(found, exact) >= 0.95
+
+
+def test_graph_of_one_and_of_equal_points():
+    import numpy as np
+
+    assert [n for _, n in VI.Graph(np.zeros((1, 3))).search(np.ones(3), 5, 8)] == [0]
+    many = VI.Graph(np.zeros((300, 3))).search(np.zeros(3), 10, 32)
+    assert len(many) == 10 and len({n for _, n in many}) == 10
