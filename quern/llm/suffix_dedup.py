@@ -275,17 +275,17 @@ def _bucket_rows(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(bucket[s]), int(s), int(e)) for s, e in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)]
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("again", pa.binary())])
-SENT_SQL = "bucket int, grp int, n long, hashes binary, again binary"
+SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("grp", pa.int32()), ("n", pa.int64()), ("sent", pa.binary()), ("again", pa.binary())])
+SENT_SQL = "kind int, bucket int, grp int, n long, sent binary, again binary"
 ANSWER = pa.schema([("grp", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("repeated", pa.binary()), ("hot", pa.binary())])
 ANSWER_SQL = "grp int, kind int, bucket int, n long, repeated binary, hot binary"
 GRAMS, STRINGS, UNITS = 0, 1, 2
 
 
-def _send(grp: int, hashes: np.ndarray, bucket: np.ndarray, second: np.ndarray | None = None) -> pa.Table:
-    h, b, again, _ = packed(hashes, bucket, second)
-    rows = _bucket_rows(b)
-    return pa.Table.from_pydict({"bucket": [r[0] for r in rows], "grp": [grp] * len(rows), "n": [e - s for _, s, e in rows], "hashes": [h[s:e].tobytes() for _, s, e in rows], "again": [np.packbits(again[s:e]).tobytes() for _, s, e in rows]}, SENT)
+def _send(kind: int, grp: int, rows: np.ndarray, bucket: np.ndarray, again: np.ndarray) -> pa.Table:
+    """Rows of one kind, packed by bucket, which ascends."""
+    cuts = _bucket_rows(bucket)
+    return pa.Table.from_pydict({"kind": [kind] * len(cuts), "bucket": [c[0] for c in cuts], "grp": [grp] * len(cuts), "n": [e - s for _, s, e in cuts], "sent": [rows[s:e].tobytes() for _, s, e in cuts], "again": [np.packbits(again[s:e]).tobytes() for _, s, e in cuts]}, SENT)
 
 
 def _bits(raw: bytes, n: int) -> np.ndarray:
@@ -296,7 +296,8 @@ def _send_grams(length: int, gram: int, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         found = slices(_text(table), length, gram)
         hashes = np.concatenate([np.empty(0, np.uint64), *(a.hash for _, _, _, a in found)])
-        return _send(key[0].as_py(), hashes, _bucket(hashes, buckets))
+        h, b, again, _ = packed(hashes, _bucket(hashes, buckets))
+        return _send(GRAMS, key[0].as_py(), h, b, again)
 
     return run
 
@@ -306,7 +307,7 @@ def _count(kind: int, hot_groups: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
-        sent = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64).reshape(sum(sizes), -1).T
+        sent = np.frombuffer(b"".join(table.column("sent").to_pylist()), np.uint64).reshape(sum(sizes), -1).T
         again = np.concatenate([_bits(x, n) for x, n in zip(table.column("again").to_pylist(), sizes, strict=True)])
         order = np.lexsort(tuple(sent)) if len(sent) > 1 else np.argsort(sent[0])
         new = np.any([np.append(True, np.diff(x[order]) != 0) for x in sent], axis=0)
@@ -367,28 +368,23 @@ def _row_sums(rows: np.ndarray, block: int = 1 << 13) -> np.ndarray:
     return np.concatenate([(rows[i : i + block] * weights).sum(axis=1, dtype=np.uint64) for i in range(0, len(rows), block)])
 
 
-UNIT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("n", pa.int64()), ("rows", pa.binary()), ("again", pa.binary())])
-
-
 def _send_units(length: int, gram: int, buckets: int):
+    """Surroundings of repeated anchors, and the strings of those that are hot."""
+
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return UNIT.empty_table()
-        g = Group(_text(left), right, length, gram, buckets)
-        rows = _bucket_rows(g.unit_bucket)
-        return pa.Table.from_pydict({"bucket": [r[0] for r in rows], "grp": [key[0].as_py()] * len(rows), "n": [e - s for _, s, e in rows], "rows": [g.rows[s:e].tobytes() for _, s, e in rows], "again": [np.packbits(g.unit_again[s:e]).tobytes() for _, s, e in rows]}, UNIT)
+            return SENT.empty_table()
+        g, grp = Group(_text(left), right, length, gram, buckets), key[0].as_py()
+        h, b, again, _ = packed(g.string_hashes, g.string_bucket, g.string_second)
+        return pa.concat_tables([_send(UNITS, grp, g.rows, g.unit_bucket, g.unit_again), _send(STRINGS, grp, h, b, again)])
 
     return run
 
 
-def _send_strings(length: int, gram: int, buckets: int):
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not _answers(right, GRAMS, "hot").any():
-            return SENT.empty_table()
-        g = Group(_text(left), right, length, gram, buckets)
-        return _send(key[0].as_py(), g.string_hashes, g.string_bucket, g.string_second)
-
-    return run
+def _decide(length: int, gram: int, hot_groups: int):
+    """A bucket of units or of strings."""
+    sort, count = _sort_units(length, gram), _count(STRINGS, hot_groups)
+    return lambda key, table: (sort if key[0].as_py() == UNITS else count)(key, table)
 
 
 def _sort_units(length: int, gram: int):
@@ -396,7 +392,7 @@ def _sort_units(length: int, gram: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, reach + length + 2) for x in table.column("rows").to_pylist()])
+        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, reach + length + 2) for x in table.column("sent").to_pylist()])
         again = np.concatenate([_bits(x, n) for x, n in zip(table.column("again").to_pylist(), sizes, strict=True)])
         # equal units of several groups are one, and then all their strings are repeated
         _, first, inverse, count = np.unique(_row_sums(rows), return_index=True, return_inverse=True, return_counts=True)
@@ -480,10 +476,6 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = 200, gram: int = 48,
     grouped = base.withColumn("grp", F.pmod("salt", F.lit(groups)).cast("int")).drop("salt")
     grams = grouped.groupBy("grp").applyInArrow(_send_grams(length, gram, buckets), SENT_SQL)
     flags = grams.groupBy("bucket").applyInArrow(_count(GRAMS, hot_groups), ANSWER_SQL)
-    pairs = grouped.groupBy("grp").cogroup(flags.groupBy("grp"))
-    units = pairs.applyInArrow(_send_units(length, gram, buckets), "bucket int, grp int, n long, rows binary, again binary")
-    answers = flags.union(units.groupBy("bucket").applyInArrow(_sort_units(length, gram), ANSWER_SQL))
-    if groups > hot_groups:
-        strings = pairs.applyInArrow(_send_strings(length, gram, buckets), SENT_SQL)
-        answers = answers.union(strings.groupBy("bucket").applyInArrow(_count(STRINGS, hot_groups), ANSWER_SQL))
+    units = grouped.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(_send_units(length, gram, buckets), SENT_SQL)
+    answers = flags.union(units.groupBy("kind", "bucket").applyInArrow(_decide(length, gram, hot_groups), ANSWER_SQL))
     return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_remove(length, gram, buckets), KEPT_SQL)
