@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, line_dedup, near_dedup, packing, quality
+from quern.llm.bitmap import BitMap
 from quern.llm.common import materialize, table
 from quern.llm.queries import BYTE_MODEL, BYTE_RANKS
 
@@ -52,9 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts without words stay.
     """
     found = near_dedup.find_near_duplicates(docs)
-    dropped = found.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = materialize(found.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("src"))
-    return packed.join(dropped, F.col("src.doc_id") == F.col("dropped_id"), "left_anti").select(*_columns(docs))
+    # most documents stay; a bit map tells them before any text is shuffled
+    may_go = BitMap(dropped, "dropped_id").may_hold("src.doc_id")
+    checked = packed.filter(may_go).join(dropped, F.col("src.doc_id") == F.col("dropped_id"), "left_anti")
+    return packed.filter(~may_go).unionByName(checked).select(*_columns(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
