@@ -12,7 +12,8 @@ Class, id and role are hints only. A name that wholly means boilerplate
 ("sidebar", "site-footer") condemns its element unless that holds the main
 article; a name that does in part ("related-work"), and a form, need a second
 witness: the element holds neither an article nor a main heading nor most of
-the page's text, and inside an article it is short or has many links. html,
+the page's text (a form: nearly all of it); a name inside an article also needs
+short text or many links. html,
 body, main and article are never judged by names, but for articles of reader
 comments beside or inside another one.
 
@@ -58,7 +59,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert
 BAD_NAMES = frozenset("ad ads adv advert advertisement adverts adsense adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 BAD_OUTSIDE = frozenset("alert copyright disclaimer header legal masthead topbar".split())
 # Words beside them that change nothing, words that turn them round, names of paid or hidden inline parts, and of reader comments.
-NEUTRAL = frozenset("area article bar block blog box buttons button container entry form global group inner left link links list main material mobile new page panel post posts primary right row secondary section site small sticky top bottom user wrap wrapper".split())
+NEUTRAL = frozenset("area article articles author bar block blog body bottom box button buttons container entry form global group inner item items left link links list main material meta mobile new page panel post posts primary right row secondary section site small sticky text thread top user wrap wrapper".split())
 NEGATIONS = frozenset("no not has have with without non".split())
 INLINE_NAMES = frozenset("ad ads adv advert advertisement adsense adsbygoogle sponsored hidden sr visuallyhidden".split())
 COMMENT_NAMES = frozenset("comment comments reply".split())
@@ -128,8 +129,8 @@ class Element(NamedTuple):
 class Hinted:
     """An element that hints speak against, and what it turns out to hold."""
 
-    def __init__(self, whole: bool, inside: int, comment: bool):
-        self.whole, self.inside, self.comment = whole, inside, comment
+    def __init__(self, whole: bool, inside: int, comment: bool, form: bool):
+        self.whole, self.inside, self.comment, self.form = whole, inside, comment, form
         self.chars = self.link_chars = 0
         self.main = self.heading = False
 
@@ -139,7 +140,11 @@ class Hinted:
             return 2 * self.chars <= chars
         if self.whole:
             return not self.main
-        if self.main or self.heading or 2 * self.chars > chars:
+        if self.main or self.heading:
+            return False
+        if self.form:  # one may wrap a whole page
+            return 10 * self.chars <= 9 * chars
+        if 2 * self.chars > chars:
             return False
         return not self.inside or self.chars <= 200 or self.link_chars > 0.3 * self.chars
 
@@ -226,7 +231,7 @@ class _Cutter:
         bad = bad or hints.hidden or name in BOILERPLATE or (name == "header" and not inside)
         if name == "article" and hints.comment or name not in NEVER_NAMED and not hints.main and (hints.whole or hints.partly or name in FORMS):
             within = (*within, len(self.hinted))
-            self.hinted.append(Hinted(hints.whole, inside, name == "article"))
+            self.hinted.append(Hinted(hints.whole, inside, name == "article", name in FORMS))
         self.stack.append(Element(name, bad, inside + article, within))
 
 

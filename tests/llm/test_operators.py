@@ -420,6 +420,10 @@ PAGES = [
  ('<div role="main"><p>%s</p></div><div><p>Outside of it is the text that is not of the article, and it is not to be read.</p></div>', GOOD),
  ('<main class="sidebar-layout"><article class="sponsored-post"><p>%s</p></article></main>', GOOD),
  ('<article><article><p>%s</p></article><article><p>x</p></article></article>', GOOD + " x"),
+ ('<article><p>%s</p><form><p>Write to us what you think of it, and say it to all of the others who read it here. ' + "It is for you and for them, and for us. " * 8 + '</p></form></article>', GOOD),
+ ('<article><p>%s</p><div class="comment-body"><p>' + "The reader says that it is a very good text of the writer. " * 6 + '</p></div></article>', GOOD),
+ ('<article><form><p>%s</p></form></article>', GOOD),
+ ('<div class="content-sidebar-wrap"><div><p>%s</p><p>%s</p></div><div class="sidebar"><p>It is all of the text that we have on the side, and it is ours.</p></div></div>' % ("%s", MORE), GOOD + " " + MORE),
  ('<div class="widget"><main><p>%s</p></main></div>', GOOD),
 ]
 
