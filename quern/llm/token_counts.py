@@ -193,7 +193,9 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, huge_ch
     todo, parts = left, [counted]
     while not todo.isEmpty():
         chunks = todo.select("doc_id", "text", "n_bytes", F.lit(overlap).alias("overlap"), "row_key").mapInArrow(_cut(chunk_chars), f"{CHUNKS}, text string")
-        edges = chunks.repartition("row_key", "chunk").mapInArrow(_encode_chunks(model_path), f"{CHUNKS}, {EDGES}")
+        # few bytes but much work: about a million characters a task, whatever adaptive execution would join by size
+        size = todo.agg(F.sum(F.char_length("text").cast("long"))).first()[0]
+        edges = chunks.repartition(min(max(1, size >> 20), 1 << 16), "row_key", "chunk").mapInArrow(_encode_chunks(model_path), f"{CHUNKS}, {EDGES}")
         spliced = materialize(edges.groupBy("row_key").applyInPandas(_splice, f"row_key long, {COUNTED}"), "tokens")
         parts.append(spliced.filter("n_tokens is not null").drop("row_key"))
         # where no common place was found, overlaps grow until a chunk holds the whole text
