@@ -68,16 +68,17 @@ def _neighbours(df: DataFrame, ts: str, values: list[str], keys: Sequence[str],
     known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(v).alias("v"))) for v in values}
     df = df.select("*", *(c.alias(f"__k_{v}") for v, c in known.items()))
     df = df.withColumn("__cut", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros * CUT)).cast("bigint"))
+    # what follows is read backwards: a frame that grows costs one step a row, one that shrinks a pass over it
     w = Window.partitionBy(*keys, "__cut").orderBy(ts)
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "__cut").orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, -1)
     near = {"__next": F.lead(ts).over(w)}
     for v in values:
-        near |= {f"__before_{v}": F.last(f"__k_{v}", True).over(up), f"__after_{v}": F.first(f"__k_{v}", True).over(down)}
+        near |= {f"__before_{v}": F.last(f"__k_{v}", True).over(up), f"__after_{v}": F.last(f"__k_{v}", True).over(down)}
     out = df.select("*", *(c.alias(n) for n, c in near.items()))
     ends = df.groupBy(*keys, "__cut").agg(F.min(ts).alias("c__next"), *(f(f"__k_{v}").alias(f"c__{n}_{v}") for v in values for f, n in ((F.max, "before"), (F.min, "after"))))
     series = Window.partitionBy(*keys).orderBy("__cut")  # one row a cut of a series
-    earlier, later = series.rowsBetween(Window.unboundedPreceding, -1), series.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(*(F.col(k).alias(f"c__key{i}") for i, k in enumerate(keys)), F.col("__cut").alias("c__cut"), F.first("c__next").over(later).alias("c__next"), *(F.last(f"c__before_{v}", True).over(earlier).alias(f"c__before_{v}") for v in values), *(F.first(f"c__after_{v}", True).over(later).alias(f"c__after_{v}") for v in values))
+    earlier, later = series.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc("__cut")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*(F.col(k).alias(f"c__key{i}") for i, k in enumerate(keys)), F.col("__cut").alias("c__cut"), F.last("c__next").over(later).alias("c__next"), *(F.last(f"c__before_{v}", True).over(earlier).alias(f"c__before_{v}") for v in values), *(F.last(f"c__after_{v}", True).over(later).alias(f"c__after_{v}") for v in values))
     same = F.col("__cut") == F.col("c__cut")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"c__key{i}"))
