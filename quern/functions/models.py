@@ -6,6 +6,7 @@ import hashlib
 import time
 from collections import OrderedDict
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,14 +23,14 @@ _CACHES: dict[tuple[str, str], InferenceCache] = {}
 
 def hash_embedding(texts: pd.Series, dim: int = 64) -> list[np.ndarray]:
     """Deterministic unit vectors: signed counts of hashed words. Each distinct word of a batch is hashed once."""
-    words = pd.Series(texts).reset_index(drop=True).fillna("").astype(str).str.lower().str.split().explode().dropna()
-    code, distinct = pd.factorize(words)
+    words = [str(text).lower().split() for text in pd.Series(texts, dtype=object).fillna("")]
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    code, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
     digests = np.frombuffer(b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest() for w in distinct), np.uint8).reshape(-1, 16)
     slot = np.ascontiguousarray(digests[:, :4]).view("<u4").ravel() % dim if len(distinct) else np.zeros(0, np.int64)
     sign = np.where(digests[:, 8] & 1, 1, -1) if len(distinct) else slot
-    out = np.zeros((len(texts), dim), np.float32)
-    np.add.at(out, (words.index.to_numpy(), slot[code]), sign[code])
-    size = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    out = np.bincount(row * dim + slot[code], weights=sign[code], minlength=len(words) * dim).reshape(len(words), dim) if len(row) else np.zeros((len(words), dim))
+    size = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return list((out / np.where(size > 0, size, 1)).astype(np.float32))
 
 
