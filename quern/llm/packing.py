@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, null_free, prepare
+from .common import materialize, null_free, prepare, release_memory
 
 CACHE_ENTRIES = 1 << 19
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
@@ -117,6 +117,7 @@ def _tokenize(encoder: Callable[[], Encoder], size: int, end_id: int):
     end = array.array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # before the vocabulary and the cache of words come in
         encode, part = encoder(), TaskContext.get().partitionId()
         seen = [0] * (size + 1)
         for batch in batches:
@@ -129,6 +130,8 @@ def _tokenize(encoder: Callable[[], Encoder], size: int, end_id: int):
                     for name, value in zip(PIECES.names, values, strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, PIECES)
+        del encode
+        release_memory()
 
     return run
 

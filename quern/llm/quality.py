@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import prepare
+from .common import prepare, release_memory
 from .html_text import STOP_WORDS
 from .substring_dedup import INSIDE
 
@@ -224,6 +224,7 @@ def _score(model: Model):
             if batch.num_rows:
                 scores = model.score(column_statistics(batch.column(1), stop))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["src", "score"])
+        release_memory()
 
     return run
 

@@ -77,3 +77,29 @@ def test_odd_rows(spark, odd, name, stage):
         assert len(rows) == 13
     else:
         assert ids.count(1) in (0, 2) and ids.count(2) in (0, 2)
+
+
+def test_texts_travel_in_small_batches(spark):
+    """A task's texts are never one batch; freed memory goes back to the system."""
+    from quern.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"n": [b.nbytes for b in batches]})
+
+    try:
+        spark.conf.set(name, "64m")
+        common.prepare(spark)
+        rows = spark.range(0, 4000, 1, 1).selectExpr("repeat('some words ', 400) text")
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 4 * common.BATCH_BYTES and max(found) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(name, "1m")
+        common.prepare(spark)
+        assert spark.conf.get(name) in ("1m", "1048576b")  # a session's own smaller limit stays
+    finally:
+        spark.conf.set(name, had)
+    common.release_memory()
